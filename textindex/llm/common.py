@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: A word: a run without ASCII white space. `bytes.split()` splits at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Ranges of a key at most; beyond that the ranges get larger, and what works on them streams.
+MOST_RANGES = 20_000
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -105,8 +110,28 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     The percentile sketch has a fixed size; the driver gets one number for each part.
     Rows that repeat a key fall in one range. Any bounds give right results, these even ones.
     """
+    parts = min(parts, MOST_RANGES)
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
     got = df.agg(F.percentile_approx(key, F.lit(at), F.lit(max(1000, 20 * parts))).alias("q")).first()["q"]
     return sorted(set(got or []))
+
+
+def range_of(key: str, bounds: list[int]):
+    """The number of the range that a key is in; null keys are in the first."""
+    cuts = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def find(ids: pd.Series) -> pd.Series:
+        null = ids.isna()
+        return pd.Series(np.where(null, 0, np.searchsorted(cuts, ids.where(~null, 0).astype("int64"), side="right")).astype("int32"))
+
+    return find(F.col(key))
+
+
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows of df, at most 2 n: those whose key has the least hash. A fixed choice for the same rows."""
+    hashed = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    got = hashed.orderBy("h").limit(n).agg(F.max("h").alias("cut")).first()["cut"]
+    return df.where(F.xxhash64(key) <= F.lit(got)).where(F.col(key).isNotNull()).limit(2 * n) if got is not None else df.limit(0)

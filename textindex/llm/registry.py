@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .fingerprints import op3_fingerprints
+from .language import op5_language
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality import op6_quality
+from .scoring import op1_lm_scores
 from .token_files import op8_token_files
 from .warc import OP4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_warc, op6_quality, op8_token_files, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_mix_sources, op3_fingerprints, op4_warc, op5_language, op6_quality, op8_token_files, op9_bpe)}
 SQL = {"op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL}

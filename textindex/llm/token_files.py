@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_store, range_bounds, shared_dir, shared_table, table, words
+from .common import open_store, range_bounds, range_of, shared_dir, shared_table, table, words
 
 BLOCK = 512
 PERCENTILES = (50, 75, 85, 90, 95, 98, 100)
@@ -232,10 +232,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     if parts is None:
         parts = max(1, docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BYTES_A_RANGE + 1
     bounds = range_bounds(docs, "doc_id", parts)
-    cut = F.lit(0)
-    for k in range(0, len(bounds), 64):  # which range an id is in: the number of bounds up to it
-        cut = cut + F.size(F.filter(F.array(*[F.lit(b) for b in bounds[k : k + 64]]), lambda b: b <= F.col("doc_id")))
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(cut).cast("int"))
+    ranged = docs.withColumn("range", range_of("doc_id", bounds))
     ranged = ranged.repartition(max(1, len(bounds) + 1), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
