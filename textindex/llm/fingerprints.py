@@ -132,7 +132,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     two = F.struct(F.col("also").alias("to"), F.lit(1).alias("copy"))
     dealt = ranged.withColumn("also", also("doc_id")).withColumn("place", F.explode(F.when(F.col("also") >= 0, F.array(one, two)).otherwise(F.array(one))))
     dealt = dealt.select("place.to", "place.copy", "doc_id", "text")
-    return dealt.repartition(len(bounds) + 1, "to").sortWithinPartitions("to", "copy", F.col("doc_id").asc_nulls_first(), "text")
+    return dealt.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("to", "copy", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprint_pairs(docs: DataFrame, parts: int | None = None, k: int = K, window: int = WINDOW) -> DataFrame:
