@@ -2,78 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import shared_dir, shared_table  # noqa: F401
+from ..sources.sinks import open_store  # noqa: F401
+
 #: A word: a run without ASCII white space. `bytes.split()` splits at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Ranges of a key at most; beyond that the ranges get larger, and what works on them streams.
 MOST_RANGES = 20_000
 
-_made: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is unset (tests, one machine) a temporary folder serves for it.
-    The folder goes when this Python process ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="textindex-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/textindex/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_drop_all)
-    _made[path] = spark
-    return path
-
-
-def _drop_all() -> None:
-    for path, spark in _made.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended before  # noqa: BLE001
-            return
-
-
-def shared_table(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and return the frame that reads it.
-
-    This cuts the lineage: a lost executor costs no recomputation of what stands before.
-    """
-    spark = spark or df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared folder (file, hdfs, s3, ...) and the path in it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8; null has none."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
