@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..operators import kernels as K
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def match_length(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Bytes that the suffixes at a and b have in common, up to the text's end; null where a position is null."""
     out = []
@@ -22,7 +23,7 @@ def match_length(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def longest_repeat(texts: pd.Series) -> pd.Series:
     """Bytes of the longest substring that occurs twice: the largest factor candidate of any position."""
     b = K.Batch([t or b"" for t in texts])
@@ -37,7 +38,7 @@ def longest_repeat(texts: pd.Series) -> pd.Series:
 def count_pattern(pattern: bytes):
     """A function (bytes) -> how often the pattern occurs, overlaps included, by two binary searches of the suffix array."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:

@@ -14,7 +14,7 @@ def from_strings(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """One text for each file of a folder or glob: doc_id (in the order of paths), path, bytes.
 
-    The numbers come from the sorted paths alone; contents aren't moved for them.
+    The numbers come from the sorted paths alone; contents aren't moved for them. Spark has no row for an empty file.
     """
     files = spark.read.format("binaryFile").load(path)
     named = sorted(r["path"] for r in files.select("path").collect())  # file names only
