@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.store import spread
 from . import kernels as K
 
 #: Bytes of texts that are indexed at once.
@@ -43,7 +44,7 @@ def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, obje
                 columns.append(pa.array(values, kind, mask=absent))
             yield pa.RecordBatch.from_arrays(columns, names=[f[0] for f in fields])
 
-    return corpus.select("doc_id", "bytes").mapInArrow(run, schema)
+    return spread(corpus.select("doc_id", "bytes")).mapInArrow(run, schema)
 
 
 def _of(ids: list, b: K.Batch) -> np.ndarray:

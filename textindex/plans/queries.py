@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import count_pattern, longest_repeat, match_length
 from ..operators import local, neighbours, suffix, transform
 from ..sources.corpus import from_strings, symbols
+from .store import spread
 
 PATTERN = b"th"
 
@@ -256,7 +257,7 @@ def lz77_stats(spark, sf_dir):
 
 
 def pattern_count(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", count_pattern(PATTERN)("bytes").alias("n"))
+    return spread(documents(spark, sf_dir)).select("doc_id", count_pattern(PATTERN)("bytes").alias("n"))
 
 
 def longest_repeats(spark, sf_dir):

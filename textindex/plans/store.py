@@ -47,3 +47,19 @@ def shared_table(df: DataFrame, name: str, spark: SparkSession | None = None) ->
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table of fewer bytes for each core is dealt out anew before heavy work on its rows.
+SMALL_A_CORE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores: its one or two row groups would keep the others idle.
+
+    By Catalyst's estimate of the size; a large table has splits enough and is left as it is, without a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size <= SMALL_A_CORE * cores else df
