@@ -18,7 +18,7 @@ from .common import hash_sample, map_batches, remainder, table
 
 WINDOW, HIDDEN = 64, 8
 PAD = 256
-#: Documents that the network is fitted on, about: those with the least hash of the id.
+#: Documents that the network is fitted on, about: those with a low hash of the id.
 SAMPLE = 2400
 WINDOWS_A_DOCUMENT, WINDOWS_A_LANGUAGE = 6, 3000
 STEPS, BATCH, RATE = 500, 128, 0.02

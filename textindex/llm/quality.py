@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, words
+from .common import hash_sample, map_batches, table, words
 
-#: Labelled documents that the trees are fitted on, at most: those with the least hash of the id.
+#: Labelled documents that the trees are fitted on, about: those with a low hash of the id.
 SAMPLE = 6000
 TREES, DEPTH, BINS, RATE, LAMBDA, LEAST_LEAF = 60, 3, 64, 0.15, 1.0, 8
 #: A document is kept if its probability of good quality is at least this.
@@ -167,14 +167,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on at most `sample` labelled documents, those with the least hash of the id.
+    """Fit on about `sample` labelled documents, twice as many at most.
 
-    Rows with a null id, quality or text don't count. Only the sampled labels go to the driver, and only
-    the statistics of their documents.
+    Rows with a null id, quality or text don't count; of several labels of an id the lowest does. Only the
+    sampled labels go to the driver, and only the statistics of their documents.
     """
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `sample` rows at most
+    some = hash_sample(some.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", sample)
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id")  # 2 * sample rows at most
     got = measure(chosen.select("doc_id", "text")).select("doc_id", "features").toPandas()
     quality = {r["doc_id"]: r["quality"] for r in some.collect()}
     got = got.sort_values("doc_id", kind="stable")
