@@ -233,7 +233,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
         parts = max(1, docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BYTES_A_RANGE + 1
     bounds = range_bounds(docs, "doc_id", parts)
     ranged = docs.withColumn("range", range_of("doc_id", bounds))
-    ranged = ranged.repartition(max(1, len(bounds) + 1), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text")
+    ranged = ranged.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(path), np.array([end], "<u4").tobytes()
