@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import open_store, shared_dir, shared_table, table
 
 LEAST = 100
-SPAN = 16 << 20
+SPAN = 4 << 20
 GAP = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, url string, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
@@ -129,7 +129,9 @@ def read_records(index: DataFrame, folder: str, span: int = SPAN, gap: int = GAP
     A file is cut into spans of offsets; ranges of a span that lie less than `gap` apart are read at once.
     """
     todo = index.select("file", F.floor(F.col("offset") / span).alias("span"), "offset", "length")
-    todo = todo.repartition("file", "span").sortWithinPartitions("file", "offset")
+    # as many tasks as spans: the index rows are small, what they stand for is not
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // span + 1
+    todo = todo.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
         """(file, end, ranges) of neighbours."""
