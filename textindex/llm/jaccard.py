@@ -1,8 +1,9 @@
 """The n-gram Jaccard join: documents whose sets of word n-grams are alike, and the groups they form.
 
-Equal sets are one node. Of each set, in the order of a count sketch (rare n-grams first), the
-leading n-grams are kept that any set alike must share one of. All nodes that keep an n-gram
-are candidates of the least of them, the pivot. So any two nodes that are alike are candidates
+Equal sets are one node. The n-grams have one order for all documents: those that a count sketch finds
+in unusually many documents come last, others by the counts of their words, rare ones first. Of each set
+so many leading n-grams are kept that any set alike must share several of them; a set that shares fewer of its own
+with others is out. All nodes left that keep an n-gram are candidates of the least of them, the pivot. So any two nodes that are alike are candidates
 of one pivot, and a large group of near copies meets few pivots instead of all its pairs.
 
 The candidates of a pivot are compared by a blocked sparse matrix product of documents by n-grams:
@@ -25,12 +26,12 @@ from .common import lower_words, shared_table, table
 from .components import components
 
 N, PERCENT = 4, 85
-#: Counters of the sketch, and those that travel in one row.
+#: Counters of the sketch of n-grams, as many of that of words, and those that travel in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the filter of nodes that are candidates; a power of two.
 FILTER_BITS = 1 << 25
 #: Words whose hash a worker keeps.
-KEEP = 400_000
+KEEP = 100_000
 #: n-grams of all documents in a block of candidates, and rows and columns of the product's blocks.
 BLOCK_GRAMS, ROWS, COLUMNS = 1_000_000, 512, 4096
 
@@ -49,11 +50,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def gram_set(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-word shingles; of fewer words the whole sequence is one; no words: none."""
+def gram_hashes(text: str | None, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the text's words, and of its n-word shingles in order; of fewer words the whole sequence is one; no words: none."""
     ws = lower_words(text)
     if not ws:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
     k = min(n, len(h))
     count = len(h) - k + 1
@@ -61,7 +62,12 @@ def gram_set(text: str | None, n: int = N) -> np.ndarray:
     for j in range(k):
         s = (s + h[j : j + count]) * _MIX[j % 4]
         s ^= s >> _SHIFT[j % 4]
-    return np.unique(s)
+    return h, s
+
+
+def gram_set(text: str | None, n: int = N) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(gram_hashes(text, n)[1])
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -73,22 +79,38 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def shared_at_least(n: int) -> int:
+    """How many of the kept n-grams two alike sets share at least, the smaller of which has n: a twentieth and one."""
+    return 1 + n // 20
+
+
+def kept_length(n: int, percent: int = PERCENT) -> int:
+    """Leading n-grams of a set of n that are kept: two alike sets share one of the prefixes' n-grams, and one more for each n-gram that both go further."""
+    return min(n, prefix_length(n, percent) + shared_at_least(n) - 1)
+
+
 def sketch(docs: DataFrame, n: int = N) -> np.ndarray:
-    """How many documents have an n-gram of each hash class: COUNTERS counts over all documents."""
+    """Counts over all documents: how many have an n-gram of each hash class, then how often words of each class stand in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint32)
+        counters = np.zeros(2 * COUNTERS, np.uint32)
+        some, held = [], 0
+
+        def put() -> None:
+            counters[:] += np.bincount(np.concatenate(some).astype(np.int64), minlength=2 * COUNTERS).astype(np.uint32)
+            some.clear()
+
         for batch in batches:
-            some, held = [], 0
             for text in batch.column(0):
-                some.append(gram_set(text.as_py(), n) & np.uint64(COUNTERS - 1))
-                held += len(some[-1])
+                h, s = gram_hashes(text.as_py(), n)
+                some += [np.unique(s) & np.uint64(COUNTERS - 1), (h & np.uint64(COUNTERS - 1)) + np.uint64(COUNTERS)]
+                held += len(s)
                 if held >= 1 << 20:
-                    counters += np.bincount(np.concatenate(some).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                    some, held = [], 0
-            if held:
-                counters += np.bincount(np.concatenate(some).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(COUNTERS // CHUNK), pa.int32()), "counters": pa.array([c.tobytes() for c in counters.reshape(-1, CHUNK)], pa.binary())})
+                    put()
+                    held = 0
+        if some:
+            put()
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(2 * COUNTERS // CHUNK), pa.int32()), "counters": pa.array([c.tobytes() for c in counters.reshape(-1, CHUNK)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -99,28 +121,49 @@ def sketch(docs: DataFrame, n: int = N) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(total, pa.int32()), "counters": pa.array([np.minimum(c, 2**32 - 1).astype("<u4").tobytes() for c in total.values()], pa.binary())})
 
     schema = "chunk int, counters binary"
-    sums = docs.select("text").mapInArrow(run, schema).repartition(COUNTERS // CHUNK, "chunk").mapInArrow(add, schema)
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint32)
-    for r in sums.collect():  # COUNTERS numbers
+    sums = docs.select("text").mapInArrow(run, schema).repartition(2 * COUNTERS // CHUNK, "chunk").mapInArrow(add, schema)
+    out = np.zeros((2 * COUNTERS // CHUNK, CHUNK), np.uint32)
+    for r in sums.collect():  # 2 * COUNTERS numbers
         out[r["chunk"]] = np.frombuffer(bytes(r["counters"]), "<u4")
     return out.reshape(-1)
 
 
+class Order:
+    """The order of n-grams: level of the n-gram's count (0 up to about three times the mean), counts of its words, hash."""
+
+    def __init__(self, counters: np.ndarray, n: int = N):
+        grams, words = counters[:COUNTERS], counters[COUNTERS:]
+        self.n = n
+        self.level = np.floor(np.log2(grams / max(grams.mean(), 1e-9) + 1) / 2).astype(np.float32)
+        self.words = np.log2(words.astype(np.float32) + 1)
+
+    def leading(self, text: str | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The set of n-grams, sorted, and the leading ones that are kept."""
+        h, s = gram_hashes(text, self.n)
+        grams, at = np.unique(s, return_index=True)
+        if not len(grams):
+            return grams, grams
+        common = self.words[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        total = np.zeros(len(s), np.float32)
+        for j in range(len(h) - len(s) + 1):
+            total += common[j : j + len(s)]
+        order = np.lexsort((total[at], self.level[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+        return grams, grams[order[: kept_length(len(grams), percent)]]
+
+
 def signatures(docs: DataFrame, counters: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (size of the set), node (null for an empty set), prefix: for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(Order(counters, n))  # 2 * COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        order = shared.value
         for batch in batches:
             sizes, nodes, prefixes = [], [], []
             for text in batch.column(1):
-                s = gram_set(text.as_py(), n)
+                s, lead = order.leading(text.as_py(), percent)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                p = prefix_length(len(s), percent) if len(s) else 0
-                order = np.argsort(often[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:p]
-                prefixes.append(s[order].view(np.int64))
+                prefixes.append(lead.view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["doc_id", "n", "node", "prefix"])
@@ -128,14 +171,32 @@ def signatures(docs: DataFrame, counters: np.ndarray, n: int = N, percent: int =
     return shared_table(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>"), "signatures")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
+def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(pivot, node): nodes that keep an n-gram in common, by the least node that keeps it; the pivot is among them."""
-    rows = signed.where("node is not null").select("node", F.explode("prefix").alias("gram"))
+    known = signed.where("node is not null")
     # map-side minima and maxima first: an n-gram that very many nodes keep is one row a task
-    ends = rows.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select(F.col("gram").alias("g"), "pivot")
-    ends = shared_table(ends, "shared-grams")
-    met = rows.join(ends, F.col("gram") == F.col("g")).select("pivot", "node").distinct()
-    return shared_table(met, "candidates")
+    several = known.select("node", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    several = shared_table(several.where("low <> high").select(F.col("gram").alias("g")), "shared-grams")
+    shared = signed.sparkSession.sparkContext.broadcast(_filter_of(several.select(F.col("g").alias("node"))))  # FILTER_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            prefix = batch.column(2)
+            flat = prefix.flatten().to_numpy()
+            k = flat % FILTER_BITS
+            hit = (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit], pa.int64()), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["gram", "node", "n"])
+
+    rows = known.select("node", "n", "prefix").mapInArrow(run, "gram bigint, node bigint, n bigint")
+    hits = shared_table(rows.join(several, F.col("gram") == F.col("g")).select("gram", "node", "n").distinct(), "hits")
+    smallest = F.ceil(F.col("n") * percent / 100)  # of a set that is alike
+    enough = hits.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= 1 + F.floor(smallest / 20)).select(F.col("node").alias("k"))
+    kept = shared_table(hits.join(enough, F.col("node") == F.col("k")).select("gram", "node"), "kept")
+    ends = kept.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select(F.col("gram").alias("g"), "pivot")
+    ends = shared_table(ends, "pivots")
+    return shared_table(kept.join(ends, F.col("gram") == F.col("g")).select("pivot", "node").distinct(), "candidates")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -166,7 +227,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
             for text in batch.column(0):
                 s = gram_set(text.as_py(), n)
                 if len(s) and bits[(k := (node := node_of(s)) % FILTER_BITS) >> 3] >> (7 - (k & 7)) & 1 and node not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(node)
                     found.append(node)
@@ -288,7 +349,7 @@ def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = signatures(docs, sketch(docs, n), n, percent)
-    met = candidates(signed)
+    met = candidates(signed, percent)
     nodes = met.select("node").distinct()
     sizes = signed.where("node is not null").select("node", "n").distinct()
     roots = components(links(met, sizes, sets_of(docs, nodes, n), percent))
