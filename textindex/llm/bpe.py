@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table
 
-KEEP = 400_000
+KEEP = 60_000
 # The pre-tokenizer's pattern of this public vocabulary family.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 

@@ -16,11 +16,16 @@ from ..sources.sinks import open_store  # noqa: F401
 #: A word: a run without ASCII white space. `bytes.split()` splits at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+ROWS_AT_ONCE = 1000
 #: Ranges of a key at most; beyond that the ranges get larger, and what works on them streams.
 MOST_RANGES = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Its texts are long, so the session's Arrow batches get ROWS_AT_ONCE rows at most."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
+        spark.conf.set(setting, ROWS_AT_ONCE)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,15 +40,15 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to a dict of columns in the order of the schema."""
+    """mapInArrow with a function from at most ROWS_AT_ONCE rows to a dict of columns in the order of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (made := each(batch)) is not None:
+        for part in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+            if (made := each(part)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
