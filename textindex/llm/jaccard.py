@@ -14,6 +14,7 @@ blocks, and each pair of blocks is a task of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,7 +173,7 @@ def signatures(docs: DataFrame, counters: np.ndarray, n: int = N, percent: int =
 
 
 def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(pivot, node): nodes that keep an n-gram in common, by the least node that keeps it; the pivot is among them."""
+    """(pivot, node, n): nodes that keep an n-gram in common, by the least node that keeps it, as long as others of about their size do."""
     known = signed.where("node is not null")
     # map-side minima and maxima first: an n-gram that very many nodes keep is one row a task
     several = known.select("node", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -193,10 +194,17 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     hits = shared_table(rows.join(several, F.col("gram") == F.col("g")).select("gram", "node", "n").distinct(), "hits")
     smallest = F.ceil(F.col("n") * percent / 100)  # of a set that is alike
     enough = hits.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= 1 + F.floor(smallest / 20)).select(F.col("node").alias("k"))
-    kept = shared_table(hits.join(enough, F.col("node") == F.col("k")).select("gram", "node"), "kept")
+    kept = shared_table(hits.join(enough, F.col("node") == F.col("k")).select("gram", "node", "n"), "kept")
     ends = kept.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select(F.col("gram").alias("g"), "pivot")
     ends = shared_table(ends, "pivots")
-    return shared_table(kept.join(ends, F.col("gram") == F.col("g")).select("pivot", "node").distinct(), "candidates")
+    met = kept.join(ends, F.col("gram") == F.col("g")).select("pivot", "node", "n").distinct()
+    # sizes of alike sets are in the same class or in neighbouring ones; the classes are a little wider than need be
+    met = shared_table(met.withColumn("size", F.floor(F.log("n") / math.log(100 / (percent - 1))).cast("int")), "met")
+    classes = met.groupBy("pivot", "size").agg(F.count("*").alias("c"))
+    near = classes.select("pivot", "c", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    near = near.groupBy("pivot", "size").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("pivot").alias("p"), F.col("size").alias("s"))
+    near = shared_table(near, "sizes")
+    return shared_table(met.join(near, (F.col("pivot") == F.col("p")) & (F.col("size") == F.col("s"))).select("pivot", "node", "n"), "candidates")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -297,12 +305,11 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
     return nodes[moved], least[moved]
 
 
-def links(met: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between nodes that are alike: a forest for each task, of the same parts as all links."""
-    m = met.join(sizes.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s")).select("pivot", "node", "n")
-    parts = met.join(sizes.select(F.col("node").alias("s"), "n"), F.col("node") == F.col("s")).groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("parts"))
+    parts = met.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("parts"))
     parts = shared_table(parts.where("parts > 1").select(F.col("pivot").alias("p"), "parts"), "large-groups")  # few: groups of more than BLOCK_GRAMS n-grams
-    m = m.join(parts, F.col("pivot") == F.col("p"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    m = met.join(parts, F.col("pivot") == F.col("p"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     m = m.select("pivot", "node", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     m = m.select("pivot", "node", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
@@ -351,8 +358,7 @@ def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     signed = signatures(docs, sketch(docs, n), n, percent)
     met = candidates(signed, percent)
     nodes = met.select("node").distinct()
-    sizes = signed.where("node is not null").select("node", "n").distinct()
-    roots = components(links(met, sizes, sets_of(docs, nodes, n), percent))
+    roots = components(links(met, sets_of(docs, nodes, n), percent))
     rows = signed.select("doc_id", "n", "node").join(roots.select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left")
     rows = shared_table(rows.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
     least = shared_table(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "k"), "least")
