@@ -255,6 +255,15 @@ def test_repeated_rows_of_lines_end_alike(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(*rows[0], 2, 0), (*rows[1], 2, 0), (None, "", 1, 1), (None, None, 0, 0)], key=repr)
 
 
+def test_common_values_of_fields_make_no_templates(spark):
+    names, cities = [f"name{c}" for c in "abcdefgh"], [f"city{c}" for c in "abcdefgh"]
+    pairs = [(n, c) for n in names for c in cities]  # 64 lines in one document each, a value in 8 documents
+    rows = [(i, f"Posted by the editor {n} from {c} in our newsroom today") for i, (n, c) in enumerate(pairs)]
+    rows += [(100 + i, f"Posted by the reader {n} at noon with thanks to everybody here") for i, n in enumerate(names)]  # another template of the leaf
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).where("n_dropped = 0").collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 100]
+
+
 # -- the pipeline -------------------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 """Line dedup by a tree of log templates.
 
 A line's words go down a tree of fixed depth: first their number, then the leading words, where a word
-with a digit is a variable field. Lines of one leaf form templates: a word is constant where it stands
-at its place in lines of at least TEMPLATE_DOCS documents of the leaf, else the field is variable. A line goes if
+with a digit is a variable field. Lines of one leaf form templates: CONSTANT percent of a template's words are
+constant, so no template of a line has more documents than the leaf has for the last of so many of the line's
+words, the commonest at their places first. The words that reach LIKE percent of that number, and TEMPLATE_DOCS
+documents, are constant; the other fields are variable, however many documents each of their values has. A line goes if
 it recurs as it is (but for fields with digits) in another document, or if its template does in
 TEMPLATE_DOCS, and the document isn't the first that has it; so no content is lost.
 
@@ -32,6 +34,8 @@ LEAST_WORDS, TEMPLATE_WORDS = 4, 6
 LINE_DOCS, TEMPLATE_DOCS = 2, 5
 #: Percent of a template's words that are constant, at least.
 CONSTANT = 70
+#: A constant word has at least so many percent of the documents that the last needed one has.
+LIKE = 80
 VARIABLE = b"<*>"
 
 _digit = re.compile(rb"[0-9]").search
@@ -108,11 +112,14 @@ def templates(docs: DataFrame, seen: DataFrame) -> DataFrame:
     fields = shared_table(fields.join(many, F.col("line") == F.col("l")).select("line", "leaf", "docs", "fields"), "fields")
     cells = fields.select("line", "leaf", "docs", F.posexplode("fields").alias("place", "word"))
     common = cells.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= TEMPLATE_DOCS)
-    common = shared_table(common.select(F.col("leaf").alias("a"), F.col("place").alias("b"), F.col("word").alias("c")), "constants")
+    common = shared_table(common.select(F.col("leaf").alias("a"), F.col("place").alias("b"), F.col("word").alias("c"), "n"), "constants")
     held = cells.join(common, (F.col("leaf") == F.col("a")) & (F.col("place") == F.col("b")) & (F.col("word") == F.col("c")))
-    made = held.groupBy("line", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("kept"))  # a line's own words at most
-    size = fields.select(F.col("line").alias("l"), (F.size("fields") + DEPTH).alias("words"))
-    made = made.join(size, F.col("line") == F.col("l")).where(100 * (F.size("kept") + DEPTH) >= CONSTANT * F.col("words"))
+    made = held.groupBy("line", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("held"))  # a line's own words at most
+    need = F.floor((CONSTANT * (F.size("fields") + DEPTH) + 99) / 100).cast("int") - DEPTH
+    made = made.join(fields.select(F.col("line").alias("l"), need.alias("need")), F.col("line") == F.col("l")).where(F.size("held") >= F.col("need"))
+    made = made.withColumn("least", F.get(F.sort_array("held.n", asc=False), F.col("need") - 1))
+    kept = F.transform(F.filter("held", lambda x: 100 * x["n"] >= LIKE * F.col("least")), lambda x: F.struct(x["place"], x["word"]))
+    made = made.withColumn("kept", kept)
     return shared_table(made.select("line", F.xxhash64("leaf", "kept").alias("template")), "templates")
 
 
