@@ -264,6 +264,14 @@ def test_common_values_of_fields_make_no_templates(spark):
     assert sorted(r["doc_id"] for r in got) == [0, 100]
 
 
+def test_rows_of_numbers_stay(spark):
+    rows = [(i, f"10{i} 20{i} 3.{i} 40{i}\n{i}1 {i}2 {i}3 total\n{i}1 {i}2 {i}3 {i}4 {i}5 {i}6\nsums {i}1 {i}2 {i}3 {i}4 {i}5") for i in range(8)]
+    rows += [(20, "1 2 3 4 5 6\nown words of this one"), (21, "1 2 3 4 5 6")]  # the same row of numbers twice
+    rows += [(30 + i, f"taken at noon by us on day {i}") for i in range(6)]  # a template with a field
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).where("n_dropped > 0").collect()
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(21, 1), *((30 + i, 1) for i in range(1, 6))]
+
+
 # -- the pipeline -------------------------------------------------------------------------------
 
 

@@ -1,12 +1,14 @@
 """Line dedup by a tree of log templates.
 
 A line's words go down a tree of fixed depth: first their number, then the leading words, where a word
-with a digit is a variable field. Lines of one leaf form templates: CONSTANT percent of a template's words are
-constant, so no template of a line has more documents than the leaf has for the last of so many of the line's
-words, the commonest at their places first. The words that reach LIKE percent of that number, and TEMPLATE_DOCS
-documents, are constant; the other fields are variable, however many documents each of their values has. A line goes if
-it recurs as it is (but for fields with digits) in another document, or if its template does in
-TEMPLATE_DOCS, and the document isn't the first that has it; so no content is lost.
+with a digit is a variable field. Lines with too few other words for a template, such as rows of numbers,
+stay out of the tree and are compared as they are, digits and all. Lines of one leaf form templates:
+CONSTANT percent of a template's words are constant, so no template of a line has more documents than the
+leaf has for the last of so many of the line's words, the commonest at their places first. The words that
+reach LIKE percent of that number, and TEMPLATE_DOCS documents, are constant; the other fields are variable,
+however many documents each of their values has. A line goes if it recurs in another document (but for
+fields with digits, 100 - CONSTANT percent of its words at most), or if its template does in TEMPLATE_DOCS,
+and the document isn't the first that has it; so what is lost is the values of fields.
 
 All counts are over all documents and by sums that start on the map side: no leaf, template
 or line, however common, meets in one task.
@@ -46,12 +48,15 @@ def _signed(x: int) -> int:
 
 
 def parse(line: bytes) -> tuple[int, int, list[bytes]] | None:
-    """(line id, leaf id, words with variable fields) or None for a line that is left alone."""
+    """(line id, leaf id, words with variable fields) or None for a line that is left alone; no words for one that is compared as it is."""
     ws = line.split()
     if len(ws) < LEAST_WORDS:
         return None
     if _digit(line):
-        ws = [VARIABLE if _digit(w) else w for w in ws]
+        masked = [VARIABLE if _digit(w) else w for w in ws]
+        if 100 * (len(ws) - masked.count(VARIABLE)) < CONSTANT * len(ws):
+            return _signed(xxhash.xxh3_64_intdigest(b" ".join(ws), seed=3)), 0, []
+        ws = masked
     lead = b"%d %s" % (len(ws), b" ".join(ws[:DEPTH]))
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(ws))), _signed(xxhash.xxh3_64_intdigest(lead, seed=2)), ws
 
@@ -79,14 +84,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _fields(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(line, leaf, fields): hashes of the words behind the leading ones, for lines of these leaves (and the filter's false hits)."""
+    """(line, leaf, fixed, fields): the number of leading words without digits and hashes of the words behind (null for one with a digit), for lines of these leaves (and the filter's false hits)."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(leaves.select(F.col("leaf").alias("node"))))  # FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         seen: set[int] = set()
         for batch in batches:
-            line, leaf, flat, ends = [], [], [], [0]
+            line, leaf, fixed, flat, ends = [], [], [], [], [0]
             for text in batch.column(0):
                 for x in (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n"):
                     if (p := parse(x)) and len(p[2]) >= TEMPLATE_WORDS and p[0] not in seen and bits[(k := p[1] % FILTER_BITS) >> 3] >> (7 - (k & 7)) & 1:
@@ -95,12 +100,13 @@ def _fields(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                         seen.add(p[0])
                         line.append(p[0])
                         leaf.append(p[1])
-                        flat.extend([xxhash.xxh3_64_intdigest(w) for w in p[2][DEPTH:]])
+                        fixed.append(DEPTH - p[2][:DEPTH].count(VARIABLE))
+                        flat.extend([None if w == VARIABLE else _signed(xxhash.xxh3_64_intdigest(w)) for w in p[2][DEPTH:]])
                         ends.append(len(flat))
-            fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(leaf, pa.int64()), fields], names=["line", "leaf", "fields"])
+            fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(leaf, pa.int64()), pa.array(fixed, pa.int32()), fields], names=["line", "leaf", "fixed", "fields"])
 
-    return docs.select("text").mapInArrow(run, "line bigint, leaf bigint, fields array<bigint>")
+    return docs.select("text").mapInArrow(run, "line bigint, leaf bigint, fixed int, fields array<bigint>")
 
 
 def templates(docs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -108,14 +114,14 @@ def templates(docs: DataFrame, seen: DataFrame) -> DataFrame:
     leaves = seen.where(F.col("words") >= TEMPLATE_WORDS).groupBy("leaf").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
     leaves = shared_table(leaves.where((F.col("n") >= TEMPLATE_DOCS) & (F.col("low") != F.col("high"))).select("leaf"), "leaves")
     many = shared_table(seen.groupBy("line").agg(F.count("*").alias("docs")).withColumnRenamed("line", "l"), "line-counts")
-    fields = _fields(docs, leaves).groupBy("line").agg(F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields"))
-    fields = shared_table(fields.join(many, F.col("line") == F.col("l")).select("line", "leaf", "docs", "fields"), "fields")
-    cells = fields.select("line", "leaf", "docs", F.posexplode("fields").alias("place", "word"))
+    fields = _fields(docs, leaves).groupBy("line").agg(F.any_value("leaf").alias("leaf"), F.any_value("fixed").alias("fixed"), F.any_value("fields").alias("fields"))
+    fields = shared_table(fields.join(many, F.col("line") == F.col("l")).select("line", "leaf", "docs", "fixed", "fields"), "fields")
+    cells = fields.select("line", "leaf", "docs", F.posexplode("fields").alias("place", "word")).where("word is not null")
     common = cells.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("n")).where(F.col("n") >= TEMPLATE_DOCS)
     common = shared_table(common.select(F.col("leaf").alias("a"), F.col("place").alias("b"), F.col("word").alias("c"), "n"), "constants")
     held = cells.join(common, (F.col("leaf") == F.col("a")) & (F.col("place") == F.col("b")) & (F.col("word") == F.col("c")))
     made = held.groupBy("line", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("held"))  # a line's own words at most
-    need = F.floor((CONSTANT * (F.size("fields") + DEPTH) + 99) / 100).cast("int") - DEPTH
+    need = F.floor((CONSTANT * (F.size("fields") + DEPTH) + 99) / 100).cast("int") - F.col("fixed")
     made = made.join(fields.select(F.col("line").alias("l"), need.alias("need")), F.col("line") == F.col("l")).where(F.size("held") >= F.col("need"))
     made = made.withColumn("least", F.get(F.sort_array("held.n", asc=False), F.col("need") - 1))
     kept = F.transform(F.filter("held", lambda x: 100 * x["n"] >= LIKE * F.col("least")), lambda x: F.struct(x["place"], x["word"]))
