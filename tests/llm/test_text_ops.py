@@ -70,6 +70,17 @@ def test_scores_of_odd_texts(spark, odd, empty):
     assert len(scoring.score(odd, v, nothing, scoring.fit(empty, v)).collect()) == len(ODD)  # nothing learned
 
 
+def test_texts_outside_the_sample_teach(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(200))) for i in range(20)] + [(99, "left right " * 6000)]  # too long for the sample
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    v = scoring.Vocabulary(scoring.counts(docs))
+    m = scoring.fit(docs, v)
+    left, right = (1 + v.known.index(w) for w in (b"left", b"right"))
+    p = 10 ** m.log10(np.array([right]), np.array([left]), np.array([right]), m.normalisers())
+    assert p[0] > 0.8  # half or so by the counts alone
+
+
 def test_model_is_normalised():
     m = scoring.LogBilinear(np.full(scoring.CLASSES, 1 / scoring.CLASSES))
     m.train(np.zeros((50, 2), np.int32), np.arange(50), steps=5)
