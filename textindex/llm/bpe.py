@@ -5,27 +5,40 @@ byte symbols. A heap holds (merge rank, position) of all adjacent pairs that can
 least comes first, entries whose pair has changed since are stale and skipped, and each merge
 pushes the two pairs it makes. Decoding concatenates the vocabulary's byte strings.
 
-Pieces repeat, so each worker keeps what it has encoded, up to a fixed number of pieces.
+Pieces repeat: Arrow cuts and numbers the pieces of some texts at once, each worker keeps the ids of
+those it has encoded, up to a fixed number of bytes, and numpy gathers them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import struct
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table
+from .common import gather, map_batches, table
 
-KEEP = 60_000
+#: Bytes of pieces and their ids after which a worker begins anew (it looks into those before as well), and what an entry takes besides, about.
+KEEP, ENTRY = 48 << 20, 180
+#: Bytes of text that are encoded at once (one text at least).
+BATCH_BYTES = 4_000_000
 # The pre-tokenizer's pattern of this public vocabulary family.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: What stands before a special token among the pieces: no piece has a space behind another character.
+SPECIAL = "\x1f \x1f"
+#: The same in Arrow's notation for texts without other characters than PLAIN, in which GAP has put a mark before
+#: the last of several spaces that a word follows (Arrow's patterns can't look ahead).
+SPACE, MARK = r"\x09-\x0d\x20", "\x1f"
+PLAIN = SPACE + r"\x21-\x7e\x{a1}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}"
+CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}{MARK}\p{{L}}\p{{N}}]+|[{SPACE}]+"
+GAP = f"([{SPACE}]+)([{SPACE}][^{SPACE}])"
 
 
 def default_path() -> str:
@@ -41,25 +54,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Filled(dict):
-    """A dict that makes what it lacks and holds twice `most` entries at most, the later ones."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Codec:
     """Encoder and decoder of a byte-level vocabulary in the tokenizers library's JSON format."""
 
@@ -80,65 +74,110 @@ class Codec:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = len(self.made)
             self.made.append(vocab[a + b])
-        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PIECE).findall
-        self.odd_space = regex.compile(r"\p{White_Space} ").search
-        self.piece = _Filled(self._piece, KEEP)
-        self.spaced = _Filled(lambda x: self._run(" " + x), KEEP)
+        self.odd = "|".join([f"[^{PLAIN}]", *(rf"\Q{x}\E" for x in self.special)])
+        self.table = pa.array(self.strings, pa.binary())
+        self.forget()
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
-        rank, sym = self.rank, [self.first[b] for b in data]
+        rank, sym = self.rank.get, [self.first[b] for b in data]
         n = len(sym)
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank.get(sym[i] << 20 | sym[i + 1])) is not None]
+        now = [rank(a << 20 | b) for a, b in zip(sym, sym[1:], strict=False)]  # the rank of the pair that begins at each position
+        heap = [r << 32 | i for i, r in enumerate(now) if r is not None]
         if not heap:
             return sym
         heapify(heap)
+        now.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         made = self.made
         while heap:
             top = heappop(heap)
             r, i = top >> 32, top & 0xFFFFFFFF
-            left = sym[i]
-            if left < 0 or (j := after[i]) >= n or rank.get(left << 20 | sym[j]) != r:
+            if now[i] != r:
                 continue  # stale
+            j = after[i]
             new = sym[i] = made[r]
-            sym[j] = -1
+            sym[j], now[j] = -1, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (q := rank.get(new << 20 | sym[k])) is not None:
+                now[i] = q = rank(new << 20 | sym[k])
+                if q is not None:
                     heappush(heap, q << 32 | i)
-            if (h := before[i]) >= 0 and (q := rank.get(sym[h] << 20 | new)) is not None:
-                heappush(heap, q << 32 | h)
+            else:
+                now[i] = None
+            if (h := before[i]) >= 0:
+                now[h] = q = rank(sym[h] << 20 | new)
+                if q is not None:
+                    heappush(heap, q << 32 | h)
         return [s for s in sym if s >= 0]
 
-    def _piece(self, text: str) -> bytes:
-        ids = self.merge(text.encode("utf-8", "surrogatepass"))
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _run(self, text: str) -> bytes:
-        found = self.find(text)
-        return self._piece(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
-
-    def _plain(self, text: str) -> bytes:
-        # No piece goes on past a space that follows a non-space, so the runs between such spaces are encoded apart
-        if self.odd_space(text):
-            return self._run(text)
-        head, *rest = text.split(" ")
-        return self._run(head) + b"".join(map(self.spaced.__getitem__, rest))
-
-    def encode(self, text: str | None) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers; null is the empty text."""
-        if not text:
-            return b""
-        if not self.split_special or "<" not in text:
-            return self._plain(text)
-        return b"".join(self.special.get(x) or self._plain(x) for x in self.split_special.split(text) if x)
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def forget(self) -> None:
+        """Begin without pieces but those kept so far, which become the old ones."""
+        self.old = (self.known, self.flat, self.starts, self.lengths) if hasattr(self, "known") else ({}, None, None, None)
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.lengths, self.held = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
+
+    def _ids(self, piece: str) -> list[int]:
+        known, flat, starts, lengths = self.old
+        if (k := known.get(piece)) is not None:
+            return flat[(a := starts[k]) : a + lengths[k]].tolist()
+        return [self.special[piece[len(SPECIAL) :]]] if piece.startswith(SPECIAL) else self.merge(piece.encode("utf-8", "surrogatepass"))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces, whose ids stand at starts[number] in flat."""
+        lack = [p for p in pieces if p not in self.known]
+        if self.held + sum(map(len, lack)) + ENTRY * len(lack) > KEEP and self.held:
+            self.forget()
+            lack = [p for p in pieces if p]
+        if lack:
+            made = [self._ids(p) for p in lack]
+            self.known.update(zip(lack, range(len(self.lengths), len(self.lengths) + len(lack)), strict=True))
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, made), np.int64, len(made))])
+            self.flat = np.concatenate([self.flat, np.array([i for ids in made for i in ids], "<u4")])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.held += sum(map(len, lack)) + ENTRY * len(lack)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The pieces of each text, and empty ones between."""
+        doubled = pc.match_substring_regex(texts, f"[{SPACE}][{SPACE}]")
+        if pc.any(doubled).as_py():
+            texts = pc.replace_substring_regex(texts, GAP, rf"\1{MARK}\2")
+        return pc.split_pattern(pc.replace_substring_regex(texts, CUT, rf"\0{MARK}"), MARK)
+
+    def _odd(self, text: str) -> list[str]:
+        """The pieces of any text; special tokens with SPECIAL in front."""
+        parts = self.split_special.split(text) if self.split_special else [text]
+        return [y for x in parts if x for y in ([SPECIAL + x] if x in self.special else self.find(x))]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and how many each text has; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        cut = self._cut(texts.filter(pa.array(~odd)))
+        others = [self._odd(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+        found = pa.concat_arrays([cut.flatten(), pa.array([p for x in others for p in x], pa.string())]).dictionary_encode()
+        number = self._numbers(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        lengths = self.lengths[number]
+        ids = gather(self.flat, self.starts[number], lengths)
+        at = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        pieces = np.concatenate([pc.list_value_length(cut).to_numpy(zero_copy_only=False), np.array([len(x) for x in others], np.int64)])
+        before = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *pieces])]
+        starts, n = np.empty(len(odd), np.int64), np.empty(len(odd), np.int64)
+        starts[at], n[at] = before[:-1], np.diff(before)
+        return gather(ids, starts, n) if odd.any() else ids, n
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[bytes]:
+        """The text of each run of ids, as the UTF-8 of what the library's decoder returns."""
+        data = self.table.take(pa.array(ids.astype(np.int64)))
+        ends = np.frombuffer(data.buffers()[1], "<i4", len(data) + 1)[np.cumsum([0, *lengths])]
+        raw = memoryview(data.buffers()[2] or b"")
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield bytes(raw[a:b]).decode("utf-8", "replace").encode()
 
 
 @lru_cache(maxsize=2)
@@ -156,11 +195,13 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
 
     def each(batch: pa.RecordBatch) -> dict:
         c = codec(path)
-        ids = [c.encode(x) for x in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "ids": ids, "decoded": [c.decode(x) for x in ids]}
+        ids, n = c.encode(batch.column(1))
+        ends = np.cumsum([0, *4 * n])
+        raw = ids.tobytes()
+        return {"doc_id": batch.column(0), "ids": [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], "decoded": [x.decode() for x in c.decode(ids, n)]}
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_batches(docs.select(doc_id, text), each, f"doc_id {kind}, ids binary, decoded string")
+    return map_batches(docs.select(doc_id, text), each, f"doc_id {kind}, ids binary, decoded string", BATCH_BYTES)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -168,16 +209,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def each(batch: pa.RecordBatch) -> dict:
-        c, n, a, b = codec(path), [], [], []
-        for x in batch.column(1).to_pylist():
-            ids = c.encode(x)
-            n.append(len(ids) // 4)
-            a.append(hashlib.sha256(ids).hexdigest())
-            b.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+        c = codec(path)
+        ids, n = c.encode(batch.column(1))
+        ends = np.cumsum([0, *4 * n]).tolist()
+        raw = memoryview(ids.tobytes())
+        own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": own, "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in c.decode(ids, n)]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", BATCH_BYTES)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
