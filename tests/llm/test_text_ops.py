@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -272,13 +273,23 @@ ALPHABET = " \n\t'sterdé<|>end12,.!\xa0　\x1c\x85😀İßΣςé́\r"
 @given(st.lists(st.one_of(st.text(alphabet=ALPHABET, max_size=40), st.text(max_size=20).filter(lambda t: "\x00" not in t), st.sampled_from(["<|endoftext|> a", "b<|startoftext|>", "don't 've''s"])), max_size=4))
 def test_tokens_equal_the_library(tokenizers_, texts):
     words, byte_level = tokenizers_
-    for got, t in zip(token_files.encoder(token_files.default_path()).encode(texts), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == ids_of(words, t)
     c = bpe.codec(bpe.default_path())
-    for t in texts:
-        ids = ids_of(byte_level, t)
-        assert np.frombuffer(c.encode(t), "<u4").tolist() == ids
-        assert c.decode(c.encode(t)) == byte_level.decode(ids, skip_special_tokens=False)
+    for coder, library in ((token_files.encoder(token_files.default_path()), words), (c, byte_level)):
+        ids, n = coder.encode(pa.array([*texts, None], pa.string()))
+        want = [ids_of(library, t) for t in [*texts, None]]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [x.decode() for x in c.decode(ids, n)] == [byte_level.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_tokens_when_the_worker_forgets(tokenizers_, docs, monkeypatch):
+    words, byte_level = tokenizers_
+    texts = [r["text"] for r in docs.values()][:60]
+    monkeypatch.setattr(bpe, "KEEP", 20_000)
+    monkeypatch.setattr(token_files, "KEEP", 300)
+    for coder, library in ((token_files.WordEncoder(token_files.default_path()), words), (bpe.Codec(bpe.default_path()), byte_level)):
+        for i in range(0, len(texts), 7):
+            ids, n = coder.encode(pa.array(texts[i : i + 7], pa.string()))
+            assert ids.tolist() == [k for t in texts[i : i + 7] for k in ids_of(library, t)]
 
 
 @settings(max_examples=80, deadline=None)

@@ -17,18 +17,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_store, range_bounds, range_of, shared_dir, shared_table, table, words
+from .common import gather, open_store, range_bounds, range_of, shared_dir, shared_table, slices, table, words
 
 BLOCK = 512
 PERCENTILES = (50, 75, 85, 90, 95, 98, 100)
 FILE_IDS = 4_000_000
 MAGIC = b"PFORIDS1"
 END = 1
-KEEP = 300_000
+#: Pieces that a worker keeps.
+KEEP = 400_000
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4_000_000
 BYTES_A_RANGE = 24_000_000
 
 
@@ -134,19 +137,19 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """The library's ids of whole texts, from its ids of their words.
-
-    The vocabulary's pre-tokenizer drops white space and no token reaches across it, so a
-    text's ids are those of its words in turn, and a word's those of its pieces. Words of Latin
-    letters and ASCII signs (NFC leaves these alone, lower case is one letter for one) are cut
-    here by the pre-tokenizer's pattern, so that the library's model gets each distinct piece
-    once in a while, many at a time; the last token of a piece carries the end of word. All
-    other words go to the whole tokenizer.
+    """The library's ids of whole texts, from its ids of their pieces.
+
+    The vocabulary's pre-tokenizer drops white space and no token reaches across a piece that it
+    cuts. Texts of Latin letters and ASCII signs (NFC leaves these alone, lower case is one letter
+    for one) are lower-cased, cut by the pre-tokenizer's pattern and numbered by Arrow, so that
+    the library's model gets each distinct piece once in a while, many at a time; the last token
+    of a piece carries the end of word, and numpy gathers the ids. Of other texts the words are
+    told apart: those in Latin letters go the same way, the rest to the whole tokenizer.
     """
 
-    # The pre-tokenizer's pattern of this public vocabulary.
-    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    LATIN = r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]{1,400}"
+    # The pre-tokenizer's pattern of this public vocabulary, but for its runs of letters, which stay between.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\x09-\x0d\x20\p{L}\p{N}]+"
+    LATIN = r"\x21-\x7e\u00a1-\u012f\u0131-\u024f"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -160,52 +163,91 @@ class WordEncoder:
         vocab = self.lib.get_vocab()
         self.last = np.zeros(1 + max(vocab.values()), bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.find, self.latin = regex.compile(self.PIECE).findall, re.compile(self.LATIN).fullmatch
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.latin = re.compile(f"[{self.LATIN}]+").fullmatch
+        # the same class in Arrow's notation, and the mark that special tokens begin with
+        self.odd = "[^" + re.sub(r"\\u(....)", r"\\x{\1}", self.LATIN) + r"\x09-\x0d\x20]|<\|"
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin without pieces."""
+        self.pieces: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.lengths = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str], tokenizer) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[bytes]) -> None:
-        plain, cut = [], []
-        for w in new:
-            text = w.decode("utf-8", "surrogatepass")
-            if self.latin(text) and "<|" not in text:
-                cut.append(self.find(text.lower()))
-                plain.append(w)
-            else:
-                self.known[w] = self._ids([text], self.lib)[0].tobytes()
-        lack = sorted(set().union(*cut).difference(self.pieces)) if cut else []
-        if len(self.pieces) + len(lack) > KEEP:
-            self.pieces = {}
-            lack = sorted(set().union(*cut))
+    def _learn(self, lack: list[str]) -> None:
+        """Number these pieces and append their ids; all pieces that the worker keeps stand in one array."""
+        flat, lengths = [self.flat], [self.lengths]
         for i in range(0, len(lack), 2000):
             some = lack[i : i + 2000]
             ids = self._ids([" ".join(some)], self.bare)[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a piece is not one word of the model")
-            a = 0
-            for p, b in zip(some, ends.tolist(), strict=True):
-                self.pieces[p] = ids[a:b].tobytes()
-                a = b
-        get = self.pieces.__getitem__
-        for w, c in zip(plain, cut, strict=True):
-            self.known[w] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            flat.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        self.pieces.update(zip(lack, range(len(self.lengths), len(self.lengths) + len(lack)), strict=True))
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in Latin letters, and how many each has."""
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), self.PIECE, r" \0 "))
+        found = cut.flatten().dictionary_encode()
+        names, order = found.dictionary.to_pylist(), found.indices.to_numpy()
+        if len(self.pieces) + len(names) > KEEP or len(self.flat) > 8 * KEEP:
+            self.forget()
+        if lack := [p for p in names if p not in self.pieces]:
+            self._learn(lack)
+        number = np.fromiter(map(self.pieces.__getitem__, names), np.int64, len(names))[order]
+        lengths = self.lengths[number]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        return gather(self.flat, self.starts[number], lengths), np.diff(before[ends], prepend=0)
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any texts, by way of their distinct words."""
         each = [words(t) for t in texts]
-        new = set().union(*each) if each else set()
-        if len(self.known) > KEEP:
-            self.known, self.old = {}, self.known
-        new.difference_update(self.known)
-        for w in new.intersection(self.old):
-            self.known[w] = self.old[w]
-        self.learn([w for w in new if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in each]
+        coded = pa.array([w for ws in each for w in ws], pa.binary()).dictionary_encode()
+        distinct = b"\n".join(coded.dictionary.to_pylist()).decode("utf-8", "surrogatepass").split("\n") if len(coded) else []
+        is_plain = np.fromiter((bool(self.latin(w)) and "<|" not in w for w in distinct), bool, len(distinct))
+        plain, other = [w for w, ok in zip(distinct, is_plain, strict=True) if ok], [w for w, ok in zip(distinct, is_plain, strict=True) if not ok]
+        flat, lengths = self._cut(pa.array(plain, pa.string()))
+        whole = self._ids(other, self.lib) if other else []
+        flat = np.concatenate([flat, *whole])
+        own, at = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        own[is_plain], own[~is_plain] = lengths, [len(x) for x in whole]
+        at[is_plain] = np.cumsum(lengths) - lengths
+        at[~is_plain] = int(lengths.sum()) + np.cumsum(own[~is_plain]) - own[~is_plain]
+        order = coded.indices.to_numpy() if len(coded) else np.empty(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(own[order])])
+        return gather(flat, at[order], own[order]), np.diff(before[np.cumsum([0, *map(len, each)])])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and how many each text has; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        flat, lengths = self._cut(texts.filter(pa.array(~odd)))
+        if not odd.any():
+            return flat, lengths
+        more, other = self._words(texts.filter(pa.array(odd)).to_pylist())
+        own, at = np.empty(len(odd), np.int64), np.empty(len(odd), np.int64)
+        own[~odd], own[odd] = lengths, other
+        at[~odd] = np.cumsum(lengths) - lengths
+        at[odd] = len(flat) + np.cumsum(other) - other
+        return gather(np.concatenate([flat, more]), at, own), own
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id behind each text's ids."""
+    stops = np.cumsum(lengths + 1) - 1
+    out = np.empty(len(ids) + len(lengths), "<u4")
+    out[stops] = end
+    inside = np.ones(len(out), bool)
+    inside[stops] = False
+    out[inside] = ids
+    return out, lengths + 1
 
 
 @lru_cache(maxsize=2)
@@ -236,37 +278,42 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     ranged = ranged.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(path), np.array([end], "<u4").tobytes()
+        enc = encoder(path)
         fs, at = open_store(folder)
         fs.create_dir(at, recursive=True)
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         who: list[int | None] = []
+        sizes: list[int] = []
         state = {"range": None, "seq": 0, "n": 0}
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not who:
                 return
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             name = f"{state['range']:08d}-{state['seq']:06d}-{uuid.uuid4().hex}.pfor"
             with fs.open_output_stream(f"{at}/{name}") as out:
-                out.write(file_bytes(who, [len(x) // 4 for x in held], ids))
+                out.write(file_bytes(who, sizes, ids))
             yield pa.RecordBatch.from_pydict({"range": pa.array([state["range"]], pa.int32()), "seq": pa.array([state["seq"]], pa.int32()), "file": pa.array([name]), "n_docs": pa.array([len(who)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
-            held.clear()
-            who.clear()
+            for x in (held, who, sizes):
+                x.clear()
             state.update(seq=state["seq"] + 1, n=0)
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                coded = enc.encode(batch.column(1).to_pylist())
-                for doc, ids, rng in zip(batch.column(0).to_pylist(), coded, batch.column(2).to_pylist(), strict=True):
-                    if rng != state["range"] or state["n"] >= FILE_IDS:
-                        yield from flush()
-                        if rng != state["range"]:
-                            state.update(range=rng, seq=0)
-                    held.append(ids + last)
-                    who.append(doc)
-                    state["n"] += len(ids) // 4 + 1
+        for batch in slices(batches, BATCH_BYTES):
+            ids, lengths = with_end(*enc.encode(batch.column(1)), end)
+            stops = np.cumsum(lengths).tolist()
+            a = 0
+            for doc, stop, n, rng in zip(batch.column(0).to_pylist(), stops, lengths.tolist(), batch.column(2).to_pylist(), strict=True):
+                if rng != state["range"] or state["n"] >= FILE_IDS:
+                    if (done := stop - n) > a:
+                        held.append(ids[a:done])
+                        a = done
+                    yield from flush()
+                    if rng != state["range"]:
+                        state.update(range=rng, seq=0)
+                who.append(doc)
+                sizes.append(n)
+                state["n"] += n
+            held.append(ids[a:])
         yield from flush()
 
     files = ranged.select("doc_id", "text", "range").mapInArrow(run, "range int, seq int, file string, n_docs bigint, n_ids bigint")
