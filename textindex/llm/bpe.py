@@ -189,7 +189,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     """(doc_id, ids binary, decoded string) for each row of docs, in whatever order and partition it stands.
 
     A null text counts as empty: no ids, empty decoded text. Null and repeated ids pass through,
-    rows stay as many as they are, other columns of docs aren't read. Texts are encoded whole.
+    rows stay as many as they are, other columns of docs aren't read, whatever their names. Texts are encoded whole,
+    however long; an empty table gives no rows.
     """
     path = path or default_path()
 
@@ -204,8 +205,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     return map_batches(docs.select(doc_id, text), each, f"doc_id {kind}, ids binary, decoded string", BATCH_BYTES)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """encode_decode() reduced where it is made: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """encode_decode() reduced where it is made: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids themselves."""
     path = path or default_path()
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -213,11 +214,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids, n = c.encode(batch.column(1))
         ends = np.cumsum([0, *4 * n]).tolist()
         raw = memoryview(ids.tobytes())
-        own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": own, "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in c.decode(ids, n)]}
+        own = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        out = {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in own], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in c.decode(ids, n)]}
+        return out | ({"ids": [bytes(x) for x in own]} if keep_ids else {})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", BATCH_BYTES)
+    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, BATCH_BYTES)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import shared_dir, shared_table  # noqa: F401
@@ -77,45 +77,51 @@ def remainder(doc_id, n: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: What a null key counts as among ranges: less than any other.
+NO_KEY = -(2**63)
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most parts - 1 cut points that split the sorted non-null keys into even ranges.
+    """parts - 1 cut points at most that split the sorted keys into even ranges; a key with many rows is several of them.
 
-    The percentile sketch has a fixed size; the driver gets one number for each part.
-    Rows that repeat a key fall in one range. Any bounds give right results, these even ones.
+    The percentile sketch has a fixed size; the driver gets one number for each part. Null keys are in front.
+    Any bounds give right results, these even ones.
     """
     parts = min(parts, MOST_RANGES)
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, F.lit(at), F.lit(max(1000, 20 * parts))).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    got = df.agg(F.percentile_approx(F.coalesce(F.col(key), F.lit(NO_KEY)), F.lit(at), F.lit(max(1000, 20 * parts))).alias("q")).first()["q"]
+    return sorted(got or [])
 
 
-def range_of(key: str, bounds: list[int]):
-    """The number of the range that a key is in; null keys are in the first."""
+def range_of(key: str, bounds: list[int], tie: str):
+    """The number of the range that a row is in, by its key; rows of a key that is several bounds go by the tie, a number, to the ranges between."""
     cuts = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        null = ids.isna()
-        return pd.Series(np.where(null, 0, np.searchsorted(cuts, ids.where(~null, 0).astype("int64"), side="right")).astype("int32"))
+    def find(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        x = ids.astype("int64").to_numpy()
+        low, high = np.searchsorted(cuts, x, side="left"), np.searchsorted(cuts, x, side="right")
+        # one bound: all behind it; several: evenly over the ranges before, between and behind them
+        part = (ties.to_numpy().astype(np.int64).view(np.uint64) % np.maximum(1, high - low + 1).astype(np.uint64)).astype(np.int64)
+        return pd.Series(np.where(high - low > 1, low + part, high).astype("int32"))
 
-    return find(F.col(key))
+    return find(F.coalesce(F.col(key), F.lit(NO_KEY)), F.col(tie))
 
 
-#: A sample that goes to the driver takes no text of more characters.
-LONGEST_SAMPLED = 50_000
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns of a row; which of them are null counts too."""
+    plain = [F.col(f"`{f.name}`").cast("string") if "map<" in (kind := f.dataType.simpleString()) or "variant" in kind else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*plain, *[x.isNull() for x in plain])
 
 
-def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """About n rows of df, at most 2 n: all, or those whose key has a low hash; null keys and, where there is a text, very long ones don't count.
+def hash_sample(df: DataFrame, n: int) -> DataFrame:
+    """About n rows of df: all, or those of a low hash, rows that are equal in every column once.
 
     The same rows for the same table. Only a count goes to the driver; nothing is sorted.
     """
-    df = df.where(F.col(key).isNotNull())
-    if "text" in df.columns:
-        df = df.where(F.length("text") <= LONGEST_SAMPLED)
     count = df.count()
     if count > n:
-        df = df.where(F.xxhash64(key) < F.lit(int(-(2**63) + 2**64 * n // count)))
-    return df.limit(2 * n)
+        df = df.where(row_hash(df) < F.lit(int(-(2**63) + 2**64 * n // count)))
+    return df.dropDuplicates()

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import range_bounds, range_of, table
 
-K = 20
-WINDOW = 64
+K = 12
+WINDOW = 24
 BYTES_A_RANGE = 24_000_000
 #: Code points of a long text that are worked on at once.
 STEP = 1 << 20
@@ -104,35 +104,34 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Each partition is sorted by range, and after a range's own rows comes the first row of the next
     range (copy = 1; after the last range the first of all), so one pass sees every row's successor.
-    The texts are shuffled once. Null ids come first; rows that repeat an id are in order of their texts.
+    The texts are shuffled once. Null ids come first; rows that repeat an id are in order of their texts' hashes, and
+    where they are many they are several ranges.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if parts is None:
         parts = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_RANGE + 1
     bounds = range_bounds(docs, "doc_id", parts)
-    ranged = docs.withColumn("range", range_of("doc_id", bounds))
-    firsts = ranged.select("doc_id", "range").groupBy("range").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).collect()  # a row for each range
-    firsts = sorted((r["range"], None if r["null"] else r["first"]) for r in firsts)
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # range before the one that begins so
-    known = sorted(x for x in before if x is not None)
-    to = np.array([before[x] for x in known], np.int64)
-    null_to = before.get(None, -1)
+    ranged = docs.withColumn("tie", F.xxhash64("text")).withColumn("range", range_of("doc_id", bounds, "tie"))
+    own = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    firsts = ranged.groupBy("range").agg(F.min(own).alias("first")).orderBy("range").collect()  # a row for each range
+    # by range: its first row's id (or none) and hash, and the range before
+    known, ids, ties, to = np.zeros(len(bounds) + 1, bool), np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int32)
+    for i, r in enumerate(firsts):
+        k = r["range"]
+        known[k], ids[k], ties[k], to[k] = r["first"]["known"], r["first"]["doc_id"] or 0, r["first"]["tie"], firsts[i - 1]["range"]
 
     @F.pandas_udf("int")
-    def also(ids: pd.Series) -> pd.Series:
-        null = ids.isna()
-        if not known:
-            return pd.Series(np.where(null, null_to, -1).astype("int32"))
-        x = ids.where(~null, 0).astype("int64").to_numpy()
-        k = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        hit = (np.array(known)[k] == x) & ~null.to_numpy()
-        return pd.Series(np.where(null, null_to, np.where(hit, to[k], -1)).astype("int32"))
+    def also(some: pd.Series, key: pd.Series, tie: pd.Series, place: pd.Series) -> pd.Series:
+        """The range before, for the first row of a range and its copies."""
+        k = place.to_numpy()
+        return pd.Series(np.where((some.to_numpy() == known[k]) & (key.to_numpy() == ids[k]) & (tie.to_numpy() == ties[k]), to[k], -1).astype("int32"))
 
     one = F.struct(F.col("range").alias("to"), F.lit(0).alias("copy"))
     two = F.struct(F.col("also").alias("to"), F.lit(1).alias("copy"))
-    dealt = ranged.withColumn("also", also("doc_id")).withColumn("place", F.explode(F.when(F.col("also") >= 0, F.array(one, two)).otherwise(F.array(one))))
-    dealt = dealt.select("place.to", "place.copy", "doc_id", "text")
-    return dealt.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("to", "copy", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = ranged.withColumn("also", also(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "tie", "range")).withColumn("place", F.explode(F.when(F.col("also") >= 0, F.array(one, two)).otherwise(F.array(one))))
+    dealt = dealt.select("place.to", "place.copy", "doc_id", "text", "tie")
+    dealt = dealt.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("to", "copy", F.col("doc_id").asc_nulls_first(), "tie", "text")
+    return dealt.drop("tie")
 
 
 def fingerprint_pairs(docs: DataFrame, parts: int | None = None, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -140,7 +139,8 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None, k: int = K, win
 
     A null text is the empty text, whose fingerprint is the empty string; two empty fingerprints have likeness 1.
     A text shorter than a gram is one gram. Rows that repeat an id are rows of their own, each the other's
-    successor. A single row is its own successor. No rows: none out. Other columns aren't read.
+    successor. A single row is its own successor. No rows: none out. Texts are read whole, however long. Other columns,
+    clashing names too, aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

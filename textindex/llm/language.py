@@ -8,18 +8,20 @@ backpropagation through time and Adam, every position labelled with its document
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, remainder, table
+from .common import map_batches, remainder, shared_table, table
 
 WINDOW, HIDDEN = 64, 8
 PAD = 256
-#: Documents that the network is fitted on, about: those with a low hash of the id.
-SAMPLE = 2400
+#: Documents that the network is fitted on, about, and of each language at least: those with a low hash.
+SAMPLE, LEAST = 2400, 40
 WINDOWS_A_DOCUMENT, WINDOWS_A_LANGUAGE = 6, 3000
 STEPS, BATCH, RATE = 500, 128, 0.02
 AT_ONCE = 2048
@@ -150,31 +152,48 @@ class Network:
         return out / np.maximum(1, [[len(t)] for t in texts])
 
 
+def sampled_windows(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Windows of text for each language of docs (text, lang) with no null in them.
+
+    Every language gets the same share of `sample` documents, LEAST at least: those whose hash is low for its number of rows, or
+    all. Rows that are equal count once. Of a document, however long, WINDOWS_A_DOCUMENT evenly spaced windows are cut where it
+    stands, and only these go to the driver.
+    """
+    held = shared_table(docs.groupBy("lang").agg(F.count("*").alias("n")), "languages", docs.sparkSession)  # a row for each language
+    quota = max(LEAST, sample // max(1, held.count()))
+    low = (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), quota / F.col("n"))).alias("low")
+    some = docs.join(F.broadcast(held.select(F.col("lang").alias("l"), low)), F.col("lang") == F.col("l")).where(F.xxhash64("text", "lang").cast("double") <= F.col("low")).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = windows(text.as_py().encode("utf-8", "surrogatepass"))
+                if len(w):
+                    langs.append(lang)
+                    found.append(w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_DOCUMENT).astype(int))].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "windows"])
+
+    by: dict[str, list[bytes]] = {}
+    for r in some.mapInArrow(run, "lang string, windows binary").distinct().collect():  # quota documents a language, about
+        by.setdefault(r["lang"], []).append(bytes(r["windows"]))
+    return {k: np.frombuffer(b"".join(sorted(v)), np.int16).reshape(-1, WINDOW) for k, v in sorted(by.items())}
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network fitted on about `sample` of the given rows (doc_id, text, lang), 2 * sample at most.
+    """A network fitted on windows of about `sample` of the given rows (text, lang), evenly from all languages.
 
-    Rows without text or lang don't count; of a document WINDOWS_A_DOCUMENT evenly spaced windows are taken.
-    The sample's languages are learned, the rarer ones drawn as often as the others. None if no row is left.
+    Rows without text or lang don't count, doc_id isn't read. Every lang value that stands with a text that isn't empty is learned,
+    rare ones drawn as often as the others. None if no row is left.
     """
-    known = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    rows = hash_sample(known, "doc_id", sample).collect()
-    by: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["lang"])):
-        w = windows(r["text"].encode("utf-8", "surrogatepass"))
-        if len(w):
-            by.setdefault(r["lang"], []).extend(w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_DOCUMENT).astype(int))])
+    by = sampled_windows(docs.where("text <> '' and lang is not null").select("text", "lang"), sample)
     if not by:
         return None
-    langs = sorted(by)
     rng = np.random.default_rng(3)
-    x, y = [], []
-    for k, lang in enumerate(langs):
-        own = np.stack(by[lang])
-        x.append(own[rng.integers(0, len(own), WINDOWS_A_LANGUAGE)])
-        y.append(np.full(WINDOWS_A_LANGUAGE, k))
-    net = Network(langs)
-    if len(langs) > 1:
-        net.fit(np.concatenate(x), np.concatenate(y))
+    x = [own[rng.integers(0, len(own), WINDOWS_A_LANGUAGE)] for own in by.values()]
+    net = Network(list(by))
+    if len(by) > 1:
+        net.fit(np.concatenate(x), np.repeat(np.arange(len(by)), WINDOWS_A_LANGUAGE))
     return net
 
 
@@ -182,7 +201,8 @@ def predict(docs: DataFrame, net: Network | None, batch_bytes: int = 4_000_000)
     """doc_id, held_out, lang_pred and score for each row of docs, from its text alone.
 
     A null text or one without a letter gets `und` with score 0, and so does any if nothing was learned.
-    Null and repeated ids pass through; whole texts are read, the long ones a block at a time.
+    Null and repeated ids pass through; whole texts are read, the long ones a block at a time. Of equal probabilities the
+    first language by code point counts. An empty table gives no rows; other columns, clashing names too, aren't read.
     """
 
     def each(batch: pa.RecordBatch) -> dict:

@@ -146,13 +146,14 @@ def dropped(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # a document's own lines at most
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs' columns, the text without the lines that go, then n_lines and n_dropped (both long), row for row.
 
     A null text stays null with no lines; blank lines and lines of fewer than LEAST_WORDS words stay. Within a
     document repeated lines count once and go together. Rows that repeat id and text are one document and end up alike; rows that
     only repeat the id are documents of their own. The first document of a line or template is that of
-    the smallest id (null last). Other columns pass through, whatever their names.
+    the smallest id (null last). Texts are read whole, however long; an empty table gives no rows. Other columns pass through,
+    whatever their names, but for those called as the two new ones, which are replaced: name the new ones otherwise to keep them.
     """
     inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -181,8 +182,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     d = d.withColumn("__cut", cut("__text", "__lines"))
-    own = [F.col("__cut.text").alias(k) if k == "text" else F.col(v).alias(k) for k, v in inner.items() if k not in ("n_lines", "n_dropped")]
-    return d.select(*own, F.col("__cut.n_lines").alias("n_lines"), F.col("__cut.n_dropped").alias("n_dropped"))
+    own = [F.col("__cut.text").alias(k) if k == "text" else F.col(v).alias(k) for k, v in inner.items() if k not in (n_lines, n_dropped)]
+    return d.select(*own, F.col("__cut.n_lines").alias(n_lines), F.col("__cut.n_dropped").alias(n_dropped))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_table, table
+from .common import WORD, row_hash, shared_table, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -48,35 +48,40 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return t.select("source", "source_size", F.coalesce(F.col("held") * F.col("w"), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, size: str = "size", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: str = "size", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, prefix: str = "") -> DataFrame:
     """docs with source_size, target and taken: the words of each document that the mix takes.
 
-    Repeated rows are documents of their own (ties by size; equal rows are interchangeable), null
-    ids share one key, a null source is a source, null or zero sizes take nothing. An empty table gives
-    no rows. Columns of docs named source_size, target or taken are replaced.
+    The key is a hash of id and size, so rows without an id or that repeat one don't meet in one range of keys. Repeated rows
+    are documents of their own; ties go by the hash of the whole row (equal rows are interchangeable). A null source is a source,
+    null or zero sizes take nothing, and a size may be as large as a long text has it. An empty table gives no rows. The new
+    columns have `prefix` in front; columns of docs of the same names are replaced, so choose one that docs doesn't have.
     """
-    docs = docs.drop("source_size", "target", "taken")
+    new = {k: f"{prefix}{k}" for k in ("source_size", "target", "taken")}
+    docs = docs.drop(*new.values())
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.toDF(*inner.values())
+    own = {"__source": F.col(inner[source]), "__size": F.coalesce(F.col(inner[size]), F.lit(0)).cast("bigint"), "__row": row_hash(d)}
+    d = d.withColumns(own)
     buckets = max(16, docs.select(source).count() // ROWS_A_BUCKET)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    own = {"__source": F.col(source), "__size": F.coalesce(F.col(size), F.lit(0)).cast("bigint"), "__key": key}
-    d = docs.withColumns(own).withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * buckets / 2**32).cast("int"))
+    d = d.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(inner[doc_id]).cast("string"), F.lit("")), F.lit(":"), F.col("__size").cast("string")).cast("binary")))
+    d = d.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * buckets / 2**32).cast("int"))
     sums = d.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
     run = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("__offset", F.sum("__sum").over(run) - F.col("__sum"))
     sums = shared_table(sums, "mix-buckets")
     goal = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size")), weights, share, most)
-    goal = goal.select(F.col("source").alias("__s"), "source_size", "target")
+    goal = goal.select(F.col("source").alias("__s"), F.col("source_size").alias("__all"), F.col("target").alias("__target"))
     sums = sums.join(goal, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s", "__sum")
-    sums = sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset", "source_size", "target")
+    sums = sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset", "__all", "__target")
 
-    inner = Window.partitionBy("__source", "__bucket").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__before", F.sum("__size").over(inner) - F.col("__size"))
+    within = Window.partitionBy("__source", "__bucket").orderBy("__key", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__before", F.sum("__size").over(within) - F.col("__size"))
     d = d.join(sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("bigint")
+    epochs = F.when(F.col("__all") > 0, F.floor(F.col("__target") / F.col("__all"))).otherwise(F.lit(0)).cast("bigint")
+    rest = F.floor(F.col("__target") - epochs * F.col("__all")).cast("bigint")
     cut = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__offset") - F.col("__before")))
     taken = (epochs * F.col("__size") + cut).cast("bigint")
-    return d.withColumn("taken", taken).drop("__source", "__size", "__key", "__bucket", "__before", "__offset", "__s", "__b")
+    return d.select(*[F.col(v).alias(k) for k, v in inner.items()], F.col("__all").alias(new["source_size"]), F.col("__target").alias(new["target"]), taken.alias(new["taken"]))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +92,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
-  FROM documents),
+  SELECT doc_id, source, size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)) AS k
+  FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents)),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source),
 w AS (SELECT source, n, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w,
              2.0::DOUBLE * n AS cap, sum(n) OVER () * 1.5::DOUBLE AS al FROM s),

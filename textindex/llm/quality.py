@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, table, words
+from .common import hash_sample, map_batches, shared_table, table, words
 
 #: Labelled documents that the trees are fitted on, about: those with a low hash of the id.
 SAMPLE = 6000
@@ -167,15 +167,15 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Fit on about `sample` labelled documents, twice as many at most.
+    """Fit on about `sample` labelled documents, one for each id.
 
-    Rows with a null id, quality or text don't count; of several labels of an id the lowest does. Only the
-    sampled labels go to the driver, and only the statistics of their documents.
+    Rows with a null id, quality or text don't count; of several labels of an id the lowest does, of several texts the least.
+    Only the sampled labels go to the driver, and only the statistics of their documents; without any the score is constant.
     """
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    some = hash_sample(some.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", sample)
-    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id")  # 2 * sample rows at most
-    got = measure(chosen.select("doc_id", "text")).select("doc_id", "features").toPandas()
+    some = shared_table(hash_sample(some.groupBy("doc_id").agg(F.min("quality").alias("quality")), sample), "labels")
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id")  # about `sample` ids
+    got = measure(chosen.groupBy("doc_id").agg(F.min("text").alias("text"))).select("doc_id", "features").toPandas()
     quality = {r["doc_id"]: r["quality"] for r in some.collect()}
     got = got.sort_values("doc_id", kind="stable")
     x = np.array(got["features"].tolist(), float).reshape(len(got), len(FEATURES))
@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 def judge(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, min_words: int = MIN_WORDS, columns: list[str] | None = None) -> DataFrame:
     """docs' id (or `columns`) with the base counts, base_failed, quality_score and kept, row for row.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged alike, null ids pass through.
+    A null or empty text has no words and fails the base rules. Repeated rows are judged alike, null ids pass through. Texts are
+    read whole, however long; an empty table gives no rows. Columns of docs that aren't asked for aren't read, whatever their names.
     """
     columns = columns or ["doc_id"]
     docs = docs.select(*columns, F.col("text").alias("__text"))

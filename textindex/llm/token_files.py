@@ -265,8 +265,9 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     name is unique to the attempt that wrote it and only the rows of successful attempts
     are in the table, so a lost executor leaves at most a file that nothing refers to.
 
-    A null text is empty (the end id alone), null ids come first, rows that repeat an id stay next to
-    each other, an empty table writes no files; other columns aren't read.
+    A null text is empty (the end id alone), null ids come first, rows that repeat an id stay next to each other (in
+    several files where they are many), an empty table writes no files; other columns, clashing names too, aren't read.
+    Texts are encoded whole, however long; a file holds whole documents and gets larger with them.
     """
     path = path or default_path()
     spark = docs.sparkSession
@@ -274,8 +275,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     if parts is None:
         parts = max(1, docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BYTES_A_RANGE + 1
     bounds = range_bounds(docs, "doc_id", parts)
-    ranged = docs.withColumn("range", range_of("doc_id", bounds))
-    ranged = ranged.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "text")
+    ranged = docs.withColumn("tie", F.xxhash64("text")).withColumn("range", range_of("doc_id", bounds, "tie"))
+    ranged = ranged.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

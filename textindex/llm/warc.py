@@ -31,12 +31,13 @@ DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, url string, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _urn(page_id: int | None, which: str) -> str:
+    """A response is told by its page and digest, so that revisits can name it; a revisit's is its own."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{which}>"
 
 
 def _page(urn: str) -> int | None:
-    return None if (x := urn.strip("<>").rpartition(":")[2]) == "null" else int(x)
+    return None if (x := urn.strip("<>").split(":")[2]) == "null" else int(x)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
@@ -48,11 +49,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_urn(page_id)}",
+        f"WARC-Record-ID: {_urn(page_id, uuid.uuid4().hex if revisit else digest)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
+        *([f"WARC-Refers-To: {_urn(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -84,8 +85,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
 
     File names are unique to the attempt and only finished tasks' rows are in the index, so
     what a lost executor wrote is never read. A null html is an empty payload, a null url about:blank;
-    null ids never hold the response of others; rows that repeat an id and a payload are all
-    responses if the id is the smallest. An empty table gives an empty index; other columns aren't read.
+    null ids never hold the response of others, and where all of a payload are null, each is a response; rows that repeat an id
+    and a payload are all responses if the id is the smallest. Payloads are written whole, however long. An empty table
+    gives an empty index; other columns, clashing names too, aren't read.
     """
     spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
