@@ -71,9 +71,57 @@ def test_scores_of_odd_texts(spark, odd, empty):
     assert len(scoring.score(odd, v, nothing, scoring.fit(empty, v)).collect()) == len(ODD)  # nothing learned
 
 
-def test_texts_outside_the_sample_teach(spark):
+def slow_probability(m, v, counted, token, before, last):
+    """Of one token, from the parameters, summed over everything it competes with."""
+    own = {w: 1 + i for i, w in enumerate(v.known[: v.own])} | {b"\n": 0}
+    get = lambda w: own[w] if w in own else v.ending.get(w[-2:], scoring.CLASSES - 1)
+    a, b, k = get(before), get(last), get(token)
+    hat = m.r[a] * m.p[0] + m.r[b] * m.p[1]
+    e = np.exp((m.q @ hat + m.b).astype(float))
+    p = float(e[k] / e.sum())
+    if k < scoring.FIRST:
+        return p
+    words = [w for w in v.known[v.own : scoring.VECTORS] if v.ending.get(w[-2:], scoring.CLASSES - 1) == k]
+    at = {w: i for i, w in enumerate(v.known)}
+    members = [int(v.member[at[w]]) for w in words] + [int(v.rest[k])]
+    e = [math.exp(float(m.s[b] @ m.v[j]) + float(m.d[j])) for j in members]
+    if token in words:
+        return p * e[words.index(token)] / sum(e)
+    others = sum(c + 1 for w, c in counted.items() if get(w) == k and w not in words) + 1
+    return p * e[-1] / sum(e) * (counted.get(token, 0) + 1) / others
+
+
+@pytest.mark.parametrize("known, vectors", [(150_000, 65_536), (420, 400), (600, 450)])
+def test_score_is_that_of_every_token(spark, monkeypatch, known, vectors):
+    for name, x in (("TABLE", known), ("VECTORS", vectors), ("CHUNK", 70), ("BUFFER", 5000)):
+        monkeypatch.setattr(scoring, name, x)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 5))) for _ in range(2000)] + ["x" * 70]
+    rows = [(i, " ".join(vocabulary[min(2000, int(rng.expovariate(0.002)))] for _ in range(rng.randint(0, 90)))) for i in range(60)] + [(None, None), (7, "never seen " * 3)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, word int, uid int").repartition(3)
+    taught = docs.where("doc_id is null or text not like 'never%'")
+    table_ = scoring.counts(taught)
+    v = scoring.Vocabulary(table_)
+    m = scoring.fit(taught, v)
+    counted = {bytes(r["word"]): r["c"] for r in table_.collect()}
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in scoring.score(docs, v, table_, m).collect())
+    want = Counter()
+    for i, text in rows:
+        before, last, total = b"\n", b"\n", 0.0
+        for t in tokens(text):
+            total += math.log10(slow_probability(m, v, counted, t, before, last))
+            before, last = last, t
+        want[i, len(tokens(text)), round(total, 3)] += 1
+    near = lambda x: sorted((str(i), n, s) for (i, n, s) in x.elements())
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.01 for a, b in zip(near(got), near(want), strict=True))
+    # over all strings the probabilities add up to one: every token, and one unseen of each class of several words
+    unseen = [b"\x01" + e if e else b"\x01~~" for e in [*v.ending, b""]]
+    assert math.isclose(sum(slow_probability(m, v, counted, t, b"\n", tokens(rows[0][1])[0]) for t in [*counted, *unseen]), 1, rel_tol=1e-4)
+
+
+def test_every_text_teaches(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(200))) for i in range(20)] + [(99, "left right " * 6000)]  # too long for the sample
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(200))) for i in range(20)] + [(99, "left right " * 6000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     v = scoring.Vocabulary(scoring.counts(docs))
     m = scoring.fit(docs, v)
@@ -82,15 +130,6 @@ def test_texts_outside_the_sample_teach(spark):
     assert p[0] > 0.8  # half or so by the counts alone
 
 
-def test_model_is_normalised():
-    m = scoring.LogBilinear(np.full(scoring.CLASSES, 1 / scoring.CLASSES))
-    m.train(np.zeros((50, 2), np.int32), np.arange(50), steps=5)
-    z = m.normalisers()
-    every = np.arange(scoring.CLASSES)
-    p = 10 ** m.log10(np.full(scoring.CLASSES, 3), np.full(scoring.CLASSES, 7), every, z)
-    assert math.isclose(p.sum(), 1, rel_tol=1e-4)
-
-
 # -- 3 ----------------------------------------------------------------------------------------
 
 
@@ -171,6 +210,51 @@ def test_languages(spark, small, docs):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) > 0.95 * len(held)
 
 
+def slow_pooled(net, data):
+    """Mean probabilities of a text, one position and one gate at a time."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    h, total = language.HIDDEN, [0.0] * len(net.langs)
+    for a in range(0, len(data), language.WINDOW):
+        x = list(data[a : a + language.WINDOW]) + [language.PAD] * (language.WINDOW - len(data[a : a + language.WINDOW]))
+        states = {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            s, states[d] = [0.0] * h, {}
+            for t in order:
+                i = net.w[f"e{d}"][x[t]].tolist()
+                r = [sum(s[j] * float(net.w[f"u{d}"][j][k]) for j in range(h)) for k in range(3 * h)]
+                z = [sigmoid(i[k] + r[k]) for k in range(h)]
+                q = [sigmoid(i[h + k] + r[h + k]) for k in range(h)]
+                new = [math.tanh(i[2 * h + k] + q[k] * r[2 * h + k]) for k in range(h)]
+                s = [(1 - z[k]) * new[k] + z[k] * s[k] for k in range(h)]
+                states[d][t] = s
+        for t in range(min(len(x), len(data) - a)):
+            e = [math.exp(float(net.w["c"][l]) + sum(states["f"][t][k] * float(net.w["of"][k][l]) + states["b"][t][k] * float(net.w["ob"][k][l]) for k in range(h))) for l in range(len(net.langs))]
+            total = [v + w / sum(e) for v, w in zip(total, e, strict=True)]
+    return [v / len(data) for v in total]
+
+
+def test_pooled_probabilities_equal_a_plain_network(spark, docs):
+    net = language.train(spark.createDataFrame([(r["text"], r["lang"]) for r in docs.values()], "text string, lang string"))
+    texts = ["a", "Ünï ÷ 中 x", *(r["text"][:150] for r in list(docs.values())[:4] if r["text"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in language.predict(rows, net).collect()}
+    for i, t in enumerate(texts):
+        want = slow_pooled(net, t.encode())
+        assert got[i]["lang_pred"] == net.langs[int(np.argmax(want))] and math.isclose(got[i]["score"], max(want), abs_tol=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    rows = [(text("abcdef"), "common")] * 400 + [(text("abcdef"), "common") for _ in range(3000)] + [(text("uvwxyz") * 40, "rare"), (text("лмнопр") * 400, "long"), ("", "empty"), (None, "none"), ("x", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    by = language.sampled_windows(docs.where("text <> '' and lang is not null"), 300)
+    assert set(by) == {"common", "rare", "long"} and 60 * language.WINDOWS_A_DOCUMENT < len(by["common"]) < 140 * language.WINDOWS_A_DOCUMENT
+    net = language.train(docs, 300)
+    asked = spark.createDataFrame([(1, text("abcdef")), (2, text("uvwxyz")), (3, text("лмнопр")), (4, "1 2"), (5, text("uvwxyz") * 3000)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(asked, net).collect()} == {1: "common", 2: "rare", 3: "long", 4: "und", 5: "rare"}
+
+
 def test_gradients():
     net = language.Network(["a", "b", "c"])
     net.w = {k: v.astype(float) for k, v in net.w.items()}
@@ -229,6 +313,21 @@ def test_quality(spark, small, docs):
     assert sum(r["kept"] == bool(label[r["doc_id"]]) for r in judged) >= 0.97 * len(judged)
 
 
+def test_verdicts_are_walks_down_the_trees(spark, small, docs):
+    all_docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    forest = quality.train(all_docs, labels)
+    for r in quality.judge(all_docs, forest).collect():
+        counts, features = quality.statistics(docs[r["doc_id"]]["text"])
+        total = forest.base
+        for k in forest.roots.tolist():
+            while forest.left[k] != k:
+                k = forest.left[k] if features[forest.feature[k]] <= forest.threshold[k] else forest.right[k]
+            total += forest.value[k]
+        score = 1 / (1 + math.exp(-total))
+        assert math.isclose(r["quality_score"], score, rel_tol=1e-9)
+        assert r["kept"] == (counts[0] >= 50 and 100 * counts[4] <= 50 * counts[0] and score >= quality.KEEP_FROM)
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(1)
     x = rng.random((600, 2))
