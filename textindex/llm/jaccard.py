@@ -3,13 +3,14 @@
 Equal sets are one node. The n-grams have one order for all documents: those that a count sketch finds
 in unusually many documents come last, others by the counts of their words, rare ones first. Of each set
 so many leading n-grams are kept that any set alike must share several of them; a set that shares fewer of its own
-with others is out. All nodes left that keep an n-gram are candidates of the least of them, the pivot. So any two nodes that are alike are candidates
+with others is out. All nodes left that keep an n-gram are candidates of the least of them, the pivot. A node leaves out the pivots that few
+of its kept n-grams lead to, up to half of what alike sets must share beyond one; so any two nodes that are alike stay candidates
 of one pivot, and a large group of near copies meets few pivots instead of all its pairs.
 
-The candidates of a pivot are compared by a blocked sparse matrix product of documents by n-grams:
-overlap counts add up over blocks of columns, pairs of row blocks whose sizes differ too much
-are left out, and only a spanning forest of the links comes out. Many candidates are cut into
-blocks, and each pair of blocks is a task of its own.
+The candidates of a pivot are compared by a blocked sparse matrix product of documents by n-grams: for a pair of
+row blocks whose sizes don't differ too much the columns that both have add up to overlap counts, those that few
+documents have pair by pair, the others in panels. Pairs of blocks whose documents are in one part already are left out,
+as only a spanning forest of the links comes out. Many candidates are cut into blocks, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_words, shared_table, table
+from .common import gather, lower_words, row_hash, shared_table, table
 from .components import components
 
 N, PERCENT = 4, 85
@@ -33,8 +34,10 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 FILTER_BITS = 1 << 25
 #: Words whose hash a worker keeps.
 KEEP = 100_000
-#: n-grams of all documents in a block of candidates, and rows and columns of the product's blocks.
-BLOCK_GRAMS, ROWS, COLUMNS = 1_000_000, 512, 4096
+#: n-grams and documents in a block of candidates, rows and columns of the product's blocks.
+BLOCK_GRAMS, BLOCK_DOCS, ROWS, COLUMNS = 1_000_000, 8_000, 512, 2048
+#: Columns with so many pairs of documents at most are multiplied pair by pair.
+FEW = 16
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _SHIFT = [np.uint64(x) for x in (29, 31, 30, 32)]
@@ -153,23 +156,23 @@ class Order:
 
 
 def signatures(docs: DataFrame, counters: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), node (null for an empty set), prefix: for each row of docs."""
+    """key, doc_id, n (size of the set), node (null for an empty set), prefix: for each row of docs (key, doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Order(counters, n))  # 2 * COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
             sizes, nodes, prefixes = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s, lead = order.leading(text.as_py(), percent)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 prefixes.append(lead.view(np.int64))
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["key", "doc_id", "n", "node", "prefix"])
 
-    return shared_table(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, prefix array<bigint>"), "signatures")
+    return shared_table(docs.select("key", "doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, n bigint, node bigint, prefix array<bigint>"), "signatures")
 
 
 def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -197,7 +200,11 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = shared_table(hits.join(enough, F.col("node") == F.col("k")).select("gram", "node", "n"), "kept")
     ends = kept.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select(F.col("gram").alias("g"), "pivot")
     ends = shared_table(ends, "pivots")
-    met = kept.join(ends, F.col("gram") == F.col("g")).select("pivot", "node", "n").distinct()
+    met = kept.join(ends, F.col("gram") == F.col("g")).select("pivot", "node", "n").repartition("node").groupBy("pivot", "node", "n").agg(F.count("*").alias("grams"))
+    # two alike nodes share 1 + shared kept n-grams at least, so when each leaves out shared / 2 of them, they still meet
+    own = Window.partitionBy("node").orderBy("grams", "pivot").rowsBetween(Window.unboundedPreceding, 0)  # a set's own n-grams at most
+    spare = F.floor(F.floor(F.ceil(F.col("n") * percent / 100) / 20) / 2)
+    met = met.withColumn("sum", F.sum("grams").over(own)).where(F.col("sum") > spare).select("pivot", "node", "n")
     # sizes of alike sets are in the same class or in neighbouring ones; the classes are a little wider than need be
     met = shared_table(met.withColumn("size", F.floor(F.log("n") / math.log(100 / (percent - 1))).cast("int")), "met")
     classes = met.groupBy("pivot", "size").agg(F.count("*").alias("c"))
@@ -245,6 +252,51 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, grams binary")
 
 
+def overlaps(row: np.ndarray, column: np.ndarray, ends: np.ndarray, p: tuple[int, int], q: tuple[int, int]) -> np.ndarray:
+    """The product of rows p by rows q of a sparse 0/1 matrix: ends has where each row's entries end, columns ascend in a row."""
+    spans = [slice(ends[x[0] - 1] if x[0] else 0, ends[x[1] - 1]) for x in (p, q)]
+    (rows_a, a), (rows_b, b) = ((row[x] - y[0], column[x]) for x, y in zip(spans, (p, q), strict=True))
+    shape = (p[1] - p[0], q[1] - q[0])
+    numbers, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    in_a, in_b = np.bincount(a, minlength=len(numbers)), np.bincount(b, minlength=len(numbers))
+    pairs = in_a * in_b
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    light = (pairs > 0) & (pairs <= FEW)
+    by_a, by_b = (np.argsort(x[light[x]], kind="stable") for x in (a, b))
+    if light.any():
+        left, right = rows_a[light[a]][by_a], rows_b[light[b]][by_b]
+        n_a, n_b = in_a[light], in_b[light]
+        i = np.repeat(left, np.repeat(n_b, n_a))
+        first = np.repeat(np.cumsum(n_b) - n_b, n_a)  # where the column's rows of q begin, for each entry of p
+        j = gather(right, first, np.repeat(n_b, n_a))
+        out += np.bincount(i * shape[1] + j, minlength=len(out))
+    out = out.reshape(shape)
+    heavy = np.cumsum(pairs > FEW) - 1
+    width = int(heavy[-1]) + 1 if len(heavy) else 0
+    keep_a, keep_b = pairs[a] > FEW, pairs[b] > FEW
+    rows_a, a, rows_b, b = rows_a[keep_a], heavy[a[keep_a]], rows_b[keep_b], heavy[b[keep_b]]
+    for first in range(0, width, COLUMNS):
+        x, y = (np.zeros((n, min(COLUMNS, width - first)), np.float32) for n in shape)
+        for z, r, c in ((x, rows_a, a), (y, rows_b, b)):
+            inside = (c >= first) & (c < first + COLUMNS)
+            z[r[inside], c[inside] - first] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of each number's part, when the parts of a and b are one; label: the same before."""
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (label := label[label])).any():
+            pass
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
 def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Links between the sets as (node, least node of its part): a blocked product of documents by n-grams.
 
@@ -254,61 +306,40 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     nodes, size, sides = nodes[order], size[order], sides[order]
-    sets = [sets[i] for i in order.tolist()]
+    column = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)[1]
+    keep = np.bincount(column)[column] > 1  # columns that two documents have
+    row = np.repeat(np.arange(m), size)[keep]
+    column = column[keep]
+    ends = np.searchsorted(row, np.arange(m), side="right")
+    by_node = np.argsort(nodes)
+    rank = np.empty(m, np.int64)
+    rank[by_node] = np.arange(m)
     cross = len(np.unique(sides)) > 1
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(column)
-    number = np.cumsum(often > 1) - 1  # columns that two documents have
-    row = np.repeat(np.arange(m), size)
-    keep = often[column] > 1
-    row, column = row[keep], number[column[keep]]
-    by_column = np.argsort(column, kind="stable")  # rows stay ascending within a column
-    row, column = row[by_column], column[by_column]
-    width = int(column[-1]) + 1 if len(column) else 0
-    a, b = [], []
     blocks = [(i, min(i + ROWS, m)) for i in range(0, m, ROWS)]
-    pairs = [(p, q) for i, p in enumerate(blocks) for q in blocks[i:] if 100 * size[p[1] - 1] >= percent * size[q[0]]]
-    overlap = {pq: np.zeros((pq[0][1] - pq[0][0], pq[1][1] - pq[1][0]), np.float32) for pq in pairs}
-    for first in range(0, width, COLUMNS):
-        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
-        dense = {}
-        for p in blocks:
-            inside = (row[lo:hi] >= p[0]) & (row[lo:hi] < p[1])
-            x = np.zeros((p[1] - p[0], min(COLUMNS, width - first)), np.float32)
-            x[row[lo:hi][inside] - p[0], column[lo:hi][inside] - first] = 1
-            dense[p] = x
-        for p, q in pairs:
-            overlap[p, q] += dense[p] @ dense[q].T
-    for (p, q), o in overlap.items():
-        both = size[p[0] : p[1], None] + size[None, q[0] : q[1]]
-        o = o.astype(np.int64)
-        like = 100 * o >= percent * (both - o)
-        if cross:
-            like &= sides[p[0] : p[1], None] != sides[None, q[0] : q[1]]
-        i, j = np.nonzero(like)
-        i, j = i + p[0], j + q[0]
-        a.append(i[i < j])
-        b.append(j[i < j])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    rank = np.argsort(np.argsort(nodes))
-    label = rank.copy()
-    while True:
-        new = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        if (new == label).all():
-            break
-        label = new
-    least = np.sort(nodes)[label]
+    label = np.arange(m)  # by rank
+    for apart in range(len(blocks)):  # pairs of near sizes first
+        for p, q in zip(blocks, blocks[apart:], strict=False):
+            if 100 * size[p[1] - 1] < percent * size[q[0]]:
+                continue
+            parts = label[rank[np.r_[p[0] : p[1], q[0] : q[1]]]]
+            if (parts == parts[0]).all():
+                continue
+            o = overlaps(row, column, ends, p, q)
+            like = 100 * o >= percent * (size[p[0] : p[1], None] + size[None, q[0] : q[1]] - o)
+            if cross:
+                like &= sides[p[0] : p[1], None] != sides[None, q[0] : q[1]]
+            i, j = np.nonzero(like)
+            i, j = i + p[0], j + q[0]
+            label = unite(label, rank[i[i < j]], rank[j[i < j]])
+    least = nodes[by_node][label[rank]]
     moved = least != nodes
     return nodes[moved], least[moved]
 
 
 def links(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between nodes that are alike: a forest for each task, of the same parts as all links."""
-    parts = met.groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("parts"))
-    parts = shared_table(parts.where("parts > 1").select(F.col("pivot").alias("p"), "parts"), "large-groups")  # few: groups of more than BLOCK_GRAMS n-grams
+    parts = met.groupBy("pivot").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
+    parts = shared_table(parts.where("parts > 1").select(F.col("pivot").alias("p"), "parts"), "large-groups")  # few: groups of more than a block
     m = met.join(parts, F.col("pivot") == F.col("p"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     m = m.select("pivot", "node", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -347,40 +378,55 @@ def links(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
+def rooted(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(key, doc_id, n, root) for each row of docs (key, doc_id, text), read from a shared table; root: one number for each group, null for a set without n-grams."""
+    signed = signatures(docs, sketch(docs, n), n, percent)
+    met = candidates(signed, percent)
+    nodes = met.select("node").distinct()
+    roots = components(links(met, sets_of(docs, nodes, n), percent))
+    rows = signed.select("key", "doc_id", "n", "node").join(roots.select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left")
+    return shared_table(rows.select("key", "doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
+
+
+def _plain(docs: DataFrame, key) -> DataFrame:
+    return docs.select(key.cast("bigint").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that the row reaches by links, itself included. A null or empty text, or one of
     white space, has no n-grams and is linked with nothing. Rows with a null id get a null component unless they
-    reach an id. Rows that repeat an id are rows of their own, and equal texts are always linked. Other columns aren't read.
+    reach an id. Rows that repeat an id are rows of their own, and equal texts are always linked. Other columns aren't
+    read, whatever their names. Texts are read whole, however long; of an empty table there are no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = signatures(docs, sketch(docs, n), n, percent)
-    met = candidates(signed, percent)
-    nodes = met.select("node").distinct()
-    roots = components(links(met, sets_of(docs, nodes, n), percent))
-    rows = signed.select("doc_id", "n", "node").join(roots.select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left")
-    rows = shared_table(rows.select("doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    rows = rooted(_plain(docs, F.lit(None)), n, percent)
     least = shared_table(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "k"), "least")
     out = rows.join(least, F.col("root") == F.col("k"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one of each group: that of the smallest doc_id stays, of rows that repeat it that of the least text.
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs but for all but one of each group: the row of the smallest doc_id stays (null last), of rows that repeat it that of the least hash.
 
-    Rows without an id or without n-grams stay. The columns of docs are as they were.
+    Rows are told apart by all their columns, never by doc_id alone; of rows that are equal in every column one stays.
+    Rows without n-grams (null, empty, white space) all stay, repeated or not. The columns of docs are as they were, whatever
+    their names. Texts are read whole, however long; an empty table stays empty.
     """
-    from pyspark.sql import Window
-
     inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     d = docs.toDF(*inner.values())
-    who, text = F.col(inner["doc_id"]), F.col(inner["text"])
-    found = groups(docs)
-    gone = found.where("n_shingles > 0 and doc_id is not null").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("__gone")).distinct()
-    d = d.join(gone.select(F.col("doc_id").alias("__id"), "__gone"), who.cast("bigint") == F.col("__id"), "left")
-    turn = F.row_number().over(Window.partitionBy(inner["doc_id"], F.when(who.isNull(), F.xxhash64(text))).orderBy(text))
-    d = d.withColumn("__turn", turn).where(F.col("__id").isNull() | (~F.col("__gone") & (F.col("__turn") == 1)))
+    d = d.withColumn("__key", row_hash(d))
+    rows = rooted(_plain(d.select("__key", F.col(inner["doc_id"]).alias("doc_id"), F.col(inner["text"]).alias("text")), F.col("__key")), n, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    stay = rows.where("root is not null").groupBy("root").agg(first).select(F.col("first.key").alias("__stays"), F.lit(False).alias("__bare"))
+    bare = rows.where("root is null").select(F.col("key").alias("__stays"), F.lit(True).alias("__bare")).distinct()
+    d = d.join(shared_table(stay.union(bare), "stay"), F.col("__key") == F.col("__stays"))
+    twice = rows.where("root is not null").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("__twice"))
+    twice = shared_table(twice, "equal-rows")
+    if not twice.isEmpty():
+        d = shared_table(d, "one-of-each")
+        again = d.join(twice, F.col("__key") == F.col("__twice"), "left_semi").where("not __bare").dropDuplicates(["__key"])
+        d = d.where("__bare").unionByName(d.where("not __bare").join(twice, F.col("__key") == F.col("__twice"), "left_anti")).unionByName(again)
     return d.select(*[F.col(v).alias(k) for k, v in inner.items()])
 
 
