@@ -400,6 +400,23 @@ def test_blocks_round_trip(ids, under):
     assert who == [7, None] and lengths.tolist() == [len(ids), 0] and (back == ids).all()
 
 
+def test_slices_read_their_blocks_only():
+    ids = np.random.default_rng(2).integers(0, 49_000, 7000).astype(np.uint32)
+    raw = token_files.file_bytes([1, None, 3], [6000, 0, 1000], ids)
+
+    class Counted:
+        n = 0
+
+        def read_at(self, n, at):
+            self.n += n
+            return raw[at : at + n]
+
+    for start, n in ((0, 7000), (511, 2), (512, 512), (6990, 50), (7000, 1), (3000, 0)):
+        f = Counted()
+        assert (token_files.read_slice(f, start, n) == ids[start : start + n]).all()
+        assert n > 600 or f.n < 3000
+
+
 def test_token_files(spark, small, docs, tokenizers_, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 3000)
     folder = shared_dir(spark, "test")

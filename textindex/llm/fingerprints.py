@@ -178,3 +178,15 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None, k: int = K, win
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3's result SQL can express."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS f FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(t[:n - n // 2] || CASE WHEN n // 2 > 0 THEN f[:n // 2] ELSE '' END) AS edited_sha256 FROM n
+"""

@@ -20,7 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = "mix"
-ROWS_A_BUCKET = 20_000
+#: Ranges of keys that each source is cut to.
+ROWS_A_BUCKET, LEAST_BUCKETS = 20_000, 256
 
 
 def word_count(text: Column) -> Column:
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, size: str = "size", doc_id: str = "doc_id", source: str
     d = docs.toDF(*inner.values())
     own = {"__source": F.col(inner[source]), "__size": F.coalesce(F.col(inner[size]), F.lit(0)).cast("bigint"), "__row": row_hash(d)}
     d = d.withColumns(own)
-    buckets = max(16, docs.select(source).count() // ROWS_A_BUCKET)
+    buckets = max(LEAST_BUCKETS, docs.select(source).count() // ROWS_A_BUCKET)
     d = d.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(inner[doc_id]).cast("string"), F.lit("")), F.lit(":"), F.col("__size").cast("string")).cast("binary")))
     d = d.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("bigint") * buckets / 2**32).cast("int"))
     sums = d.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))

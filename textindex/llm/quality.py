@@ -215,3 +215,22 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6's result SQL can express."""
+    return op6_quality(spark, sf_dir).select("doc_id", *BASE, "base_failed")
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  [l FOR l IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c >= 2),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM s, range(3) z(k) GROUP BY doc_id),
+b AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+      FROM t LEFT JOIN r ON r.doc_id = t.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+"""

@@ -133,6 +133,23 @@ def read_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else x for x, z in zip(doc_ids, null.tolist(), strict=True)], lengths, unpack(data, starts, n)
 
 
+def read_slice(f: pa.NativeFile, start: int, n: int) -> np.ndarray:
+    """n ids from the start-th of a file on; besides the header only the blocks that hold them are read, found by the block starts."""
+    magic = f.read_at(40, 0)
+    if magic[:8] != MAGIC:
+        raise ValueError("not a file of token ids")
+    n_docs, total, n_blocks, block = np.frombuffer(magic, "<u8", 4, 8).tolist()
+    n = max(0, min(n, total - start))
+    if not n:
+        return np.empty(0, np.uint32)
+    first, last = start // block, -(-(start + n) // block)
+    table_at = 40 + 17 * n_docs
+    starts = np.frombuffer(f.read_at(8 * (last - first + 1), table_at + 8 * first), "<u8").astype(np.int64)
+    data = f.read_at(int(starts[-1] - starts[0]), table_at + 8 * (n_blocks + 1) + int(starts[0]))
+    ids = unpack(np.frombuffer(data, np.uint8), starts - starts[0], (last - first) * block)
+    return ids[start - first * block :][:n]
+
+
 # -- the tokenizer ------------------------------------------------------------------------
 
 
