@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,8 @@ from hypothesis import strategies as st
 
 from textindex.functions.text import count_pattern, longest_repeat, match_length
 from textindex.operators import kernels as K
-from textindex.operators import local, neighbours, suffix, transform
+from textindex.operators import large, local, neighbours, suffix, transform
+from textindex.sources import corpus as sources
 from textindex.sources.corpus import from_strings, symbols
 
 # Texts with their suffix array, transform, primary index and factors.
@@ -60,6 +62,45 @@ def test_large_texts_take_the_distributed_form(corpus):
     assert arrays(suffix.suffix_array(corpus, large=20).collect()) == want
 
 
+def test_large_texts_in_blocks(corpus, monkeypatch):
+    monkeypatch.setattr(large, "ASKS", 3)  # several copies of a block that more rows look into
+    got = large.neighbours(corpus, large=20, block=5)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, local.psv_nsv(corpus).select(*got.columns).collect()))
+    want = {i: by_definition(t) for i, t in enumerate(some_texts()) if t}
+    got = {}
+    for r in large.transform(corpus, large=20).collect():
+        got.setdefault(r["doc_id"], {})[r["place"]] = r["byte"]
+    assert {d: bytes(x[i] for i in range(len(x))) for d, x in got.items()} == {i: some_texts()[i][-1:] + bytes(some_texts()[i][p - 1] for p in sa if p) for i, sa in want.items()}
+
+
+def test_positions_by_chunks(corpus, monkeypatch):
+    monkeypatch.setattr(sources, "CHUNK", 5)
+    want = sorted((i, p, t[p : p + 8]) for i, t in enumerate(some_texts()) for p in range(len(t)))
+    for spread in (False, True):
+        assert sorted((r["doc_id"], r["pos"], bytes(r["key"])) for r in sources.prefixes(corpus, 8, spread).collect()) == want
+    counts = Counter(b"".join(some_texts()))
+    assert {r["byte"]: r["n"] for r in sources.byte_counts(corpus).collect()} == counts
+
+
+def test_memory_bounds_what_a_task_indexes(spark):
+    assert suffix.large_from(spark) >= 1 << 16
+    with_conf = lambda master, **c: suffix.large_from(type("S", (), {"sparkContext": type("C", (), {"master": master}), "conf": type("G", (), {"get": staticmethod(lambda k, d=None: c.get(k.replace(".", "_"), d))})}))
+    assert with_conf("yarn", spark_executor_cores="4", spark_executor_pyspark_memory="8g") == (1 << 30) // 160
+    assert with_conf("yarn", spark_executor_cores="4", spark_executor_memoryOverhead="4096") == (512 << 20) // 160
+    assert with_conf("yarn", spark_executor_memory="40g") == (2 << 30) // 160
+    assert with_conf("local[4]") == (512 << 20) // 160
+
+
+def test_common_prefixes_of_neighbours(corpus):
+    got = {}
+    for r in local.lcp(corpus).collect():
+        got.setdefault(r["doc_id"], {})[r["rank"]] = r["lcp"]
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for i, t in enumerate(some_texts()):
+        sa = by_definition(t)
+        assert [got[i][r] for r in range(len(t))] == [same(t[sa[r - 1] :], t[sa[r] :]) if r else 0 for r in range(len(t))] if t else i not in got
+
+
 def test_golden():
     for text, (sa, l, primary, factors) in GOLDEN.items():
         b = K.Batch([text])

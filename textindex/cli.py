@@ -48,6 +48,7 @@ def main(args: list[str]) -> int:
         return 0
     same, clock = profile(spark, args[1])
     clock.table(spark).show(truncate=False)
+    clock.executors(spark).show(truncate=False)
     print("equal" if same else "NOT EQUAL")
     return 0 if same else 1
 

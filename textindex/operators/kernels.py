@@ -159,6 +159,21 @@ def extend(data: bytes, i: int, j: int, have: int, end: int) -> int:
     return have
 
 
+def adjacent(b: Batch, sa: np.ndarray) -> np.ndarray:
+    """For each slot the bytes that its suffix has in common with the one before; 0 for a text's first."""
+    n = b.n
+    out = np.zeros(n, np.int64)
+    slot = np.flatnonzero(np.arange(n) != b.start)
+    here, before = sa[slot], sa[slot - 1]
+    for swap in (False, True):  # common() wants the earlier position second; each position is in one pair of either kind
+        own = (here < before) == swap
+        other = np.full(n, -1)
+        late, early = (before, here) if swap else (here, before)
+        other[late[own]] = early[own]
+        out[slot[own]] = common(b, other, True)[late[own]]
+    return out
+
+
 def candidates(b: Batch, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """psv, nsv (positions in text order, -1 for none) and the common lengths with both."""
     sa, _ = suffix_array(b)
@@ -251,7 +266,6 @@ def unbwt(transform: bytes, primary: int) -> bytes:
     raw = np.frombuffer(transform, np.uint8).astype(np.int64) + 1
     column[:primary], column[primary], column[primary + 1 :] = raw[:primary], 0, raw[primary:]
     first = np.argsort(column, kind="stable")  # row -> row of the suffix one on
-    distance = np.zeros(n + 1, np.int64)
     order = np.empty(n + 1, np.int64)
     # follow the rows from the end marker's: split into chains that are walked side by side
     order[0] = first[0]
@@ -261,5 +275,4 @@ def unbwt(transform: bytes, primary: int) -> bytes:
         order[have : have + m] = jump[order[:m]]
         have += m
         jump = jump[jump]
-    del distance
     return (np.sort(column)[order[:n]] - 1).astype(np.uint8).tobytes()

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.store import spread
 from . import kernels as K
@@ -15,36 +16,43 @@ from . import kernels as K
 BATCH_BYTES = 1 << 20
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, K.Batch]]:
-    ids, texts, size = [], [], 0
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, K.Batch, list[list]]]:
+    ids, texts, carried, size = [], [], [], 0
     for batch in rows:
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc_id, raw, *more in zip(batch.column(0).to_pylist(), batch.column(1), *(x.to_pylist() for x in batch.columns[2:]), strict=True):
             text = raw.as_py()
             ids.append(doc_id)
             texts.append(text or b"")
+            carried.append(more)
             size += len(texts[-1])
             if size >= BATCH_BYTES:
-                yield ids, K.Batch(texts)
-                ids, texts, size = [], [], 0
+                yield ids, K.Batch(texts), carried
+                ids, texts, carried, size = [], [], [], 0
     if ids:
-        yield ids, K.Batch(texts)
+        yield ids, K.Batch(texts), carried
 
 
-def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, object]], schema: str) -> DataFrame:
-    """Apply make(ids, batch) to batches of whole texts (doc_id, bytes); it returns bigint, binary or string columns."""
+def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, object]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Apply make(ids, batch) to batches of whole texts (doc_id, bytes); it returns bigint, binary or string columns.
+
+    With a row for each text, further columns of the corpus can be carried along.
+    """
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
+    more = [(c, corpus.schema[c].dataType) for c in carry]
+    arrow = [to_arrow_type(t) for _, t in more]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, b in _batches(rows):
+        for ids, b, carried in _batches(rows):
             made = make(ids, b)
             columns = []
             for name, kind in fields:
                 values, absent = made[name], made.get(f"{name}?")
                 columns.append(pa.array(values, kind, mask=absent))
-            yield pa.RecordBatch.from_arrays(columns, names=[f[0] for f in fields])
+            columns += [pa.array([x[i] for x in carried], t) for i, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f[0] for f in fields] + list(carry))
 
-    return spread(corpus.select("doc_id", "bytes")).mapInArrow(run, schema)
+    return spread(corpus.select("doc_id", "bytes", *carry)).mapInArrow(run, schema + "".join(f", `{c}` {t.simpleString()}" for c, t in more))
 
 
 def _of(ids: list, b: K.Batch) -> np.ndarray:
@@ -61,6 +69,25 @@ def sa_isa(corpus: DataFrame) -> DataFrame:
     return over_texts(corpus, make, "doc_id bigint, rank bigint, pos bigint")
 
 
+def sa_and_isa(corpus: DataFrame) -> DataFrame:
+    """(doc_id, i, sa, isa): the suffix array and its inverse side by side."""
+
+    def make(ids, b):
+        sa, isa = K.suffix_array(b)
+        return {"doc_id": _of(ids, b), "i": np.arange(b.n) - b.start, "sa": sa - b.start, "isa": isa - b.start}
+
+    return over_texts(corpus, make, "doc_id bigint, i bigint, sa bigint, isa bigint")
+
+
+def lcp(corpus: DataFrame) -> DataFrame:
+    """(doc_id, rank, lcp): the bytes that the suffix of a rank has in common with the one before; 0 for the first."""
+
+    def make(ids, b):
+        return {"doc_id": _of(ids, b), "rank": np.arange(b.n) - b.start, "lcp": K.adjacent(b, K.suffix_array(b)[0])}
+
+    return over_texts(corpus, make, "doc_id bigint, rank bigint, lcp bigint")
+
+
 def psv_nsv(corpus: DataFrame) -> DataFrame:
     """(doc_id, rank, pos, psv, nsv, psv_rank, nsv_rank) in suffix order; null where there is none."""
 
@@ -87,6 +114,28 @@ def bwt(corpus: DataFrame) -> DataFrame:
     return over_texts(corpus, make, "doc_id bigint, l binary, primary_index bigint")
 
 
+def bwt_isa(corpus: DataFrame) -> DataFrame:
+    """(doc_id, pos, rank, l_byte): the inverse suffix array by position, with the transform's byte (two hex digits) at that rank."""
+    hexed = [f"{i:02X}" for i in range(256)]
+
+    def make(ids, b):
+        sa, isa = K.suffix_array(b)
+        column = np.frombuffer(b"".join(K.bwt(b, sa, isa)[0]), np.uint8)
+        return {"doc_id": _of(ids, b), "pos": sa - b.start, "rank": np.arange(b.n) - b.start, "l_byte": [hexed[x] for x in column.tolist()]}
+
+    return over_texts(corpus, make, "doc_id bigint, pos bigint, rank bigint, l_byte string")
+
+
+def bwt_rows(corpus: DataFrame) -> DataFrame:
+    """(doc_id, place, byte): the transform's bytes as rows."""
+
+    def make(ids, b):
+        column = np.frombuffer(b"".join(K.bwt(b, *K.suffix_array(b))[0]), np.uint8)
+        return {"doc_id": _of(ids, b), "place": np.arange(b.n) - b.start, "byte": column.astype(np.int64)}
+
+    return over_texts(corpus, make, "doc_id bigint, place bigint, byte bigint")
+
+
 def unbwt(transforms: DataFrame) -> DataFrame:
     """(doc_id, bytes) from (doc_id, l, primary_index)."""
 
@@ -128,15 +177,15 @@ def _record(source: np.ndarray, length: np.ndarray) -> bytes:
     return np.stack([source, length], axis=1).astype("<u8").tobytes()
 
 
-def lz_encoded(corpus: DataFrame) -> DataFrame:
-    """(doc_id, factors, phrases, n_bytes): 16 bytes a factor, little-endian source and length; a row for each text."""
+def lz_encoded(corpus: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, factors, phrases, n_bytes): 16 bytes a factor, little-endian source and length; a row for each text, with the columns to carry."""
 
     def make(ids, b):
         text, _, source, length = K.factors(b)
         at = np.searchsorted(text, np.arange(len(ids) + 1))
         return {"doc_id": ids, "factors": [_record(source[i:j], length[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], "phrases": np.diff(at), "n_bytes": b.sizes}
 
-    return over_texts(corpus, make, "doc_id bigint, factors binary, phrases bigint, n_bytes bigint")
+    return over_texts(corpus, make, "doc_id bigint, factors binary, phrases bigint, n_bytes bigint", carry)
 
 
 def lz_decoded(encoded: DataFrame) -> DataFrame:

@@ -6,15 +6,39 @@ the loops, so that 0 can stand for what lies past the end, and from 0 in results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import shared_table
-from ..sources.corpus import byte_at, positions
+from ..sources.corpus import positions, prefixes, symbols
 from . import local
 
-#: Texts above this many bytes are sorted by the distributed loop, others inside a task.
-LARGE = 64 << 20
+#: Memory that indexing a byte of text takes inside a task, about (measured 143), and the share of a core's memory that it may take.
+BYTES_A_BYTE, SHARE = 160, 0.5
+
+
+def large_from(spark: SparkSession) -> int:
+    """Texts above this many bytes are indexed by the distributed operators, others inside a task: by the memory that a
+    core has outside the JVM's heap (spark.executor.pyspark.memory or the overhead), 1 GB where nothing is set on one machine."""
+    conf, unit = spark.conf, {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+    def size(text: str, plain: int) -> int:
+        found = re.fullmatch(r"(\d+)([bkmgt]?)b?", text.strip().lower())
+        return int(found[1]) * (unit[found[2]] if found[2] else plain)
+
+    cores = max(1, int(conf.get("spark.executor.cores", "1")))
+    own, over = conf.get("spark.executor.pyspark.memory", None), conf.get("spark.executor.memoryOverhead", None)
+    if own or over:
+        held = size(own or over, 1 << 20)
+    elif spark.sparkContext.master.startswith("local"):
+        held = cores << 30
+    else:
+        factor = float(conf.get("spark.executor.memoryOverheadFactor", "0.1"))
+        held = max(384 << 20, int(factor * size(conf.get("spark.executor.memory", "1g"), 1 << 20)))
+    return max(1 << 16, int(SHARE * held / cores) // BYTES_A_BYTE)
 
 
 def _by_doc(*order):
@@ -29,7 +53,7 @@ def naive(corpus: DataFrame) -> DataFrame:
 
 def first_ranks(corpus: DataFrame) -> DataFrame:
     """(doc_id, pos, r): the byte plus one."""
-    return positions(corpus).select("doc_id", "pos", (byte_at("bytes", "pos") + 1).alias("r"))
+    return symbols(corpus).select("doc_id", "pos", (F.col("byte") + 1).alias("r"))
 
 
 def ahead(ranks: DataFrame, k: int) -> DataFrame:
@@ -59,8 +83,7 @@ def refined(pairs: DataFrame) -> DataFrame:
 
 def prefix_ranks(corpus: DataFrame, width: int = 8) -> DataFrame:
     """(doc_id, pos, rank0): how many suffixes have a smaller prefix of `width` bytes."""
-    keyed = positions(corpus).select("doc_id", "pos", F.substring(F.col("bytes"), F.col("pos").cast("int") + 1, F.lit(width)).alias("key"))
-    return keyed.select("doc_id", "pos", (F.rank().over(_by_doc("key")) - 1).cast("bigint").alias("rank0"))
+    return prefixes(corpus, width).select("doc_id", "pos", (F.rank().over(_by_doc("key")) - 1).cast("bigint").alias("rank0"))
 
 
 def tied(ranks: DataFrame) -> DataFrame:
@@ -110,8 +133,7 @@ def fast(corpus: DataFrame) -> DataFrame:
     most a text, are summed to offsets), later ones by group of equal rank; the rank k positions on comes from an
     equi-join. So one very large text spreads over all tasks. Each round is written to the shared folder.
     """
-    at = F.col("pos").cast("int") + 1
-    keyed = positions(corpus).select("doc_id", "pos", F.substring(F.col("bytes"), at, F.lit(8)).alias("key")).withColumn("two", F.substring("key", 1, 2))
+    keyed = prefixes(corpus, 8, spread=True).withColumn("two", F.substring("key", 1, 2))
     heads = keyed.groupBy("doc_id", "two").agg(F.count("*").alias("n"))
     run = _by_doc("two").rowsBetween(Window.unboundedPreceding, 0)
     heads = heads.select(F.col("doc_id").alias("d"), F.col("two").alias("t"), (F.sum("n").over(run) - F.col("n")).alias("before"))
@@ -132,7 +154,16 @@ def fast(corpus: DataFrame) -> DataFrame:
     raise RuntimeError("the refinement did not settle")
 
 
-def suffix_array(corpus: DataFrame, strategy: str = "auto", large: int = LARGE) -> DataFrame:
+def by_size(corpus: DataFrame, small: Callable[[DataFrame], DataFrame], big: Callable[[DataFrame], DataFrame], large: int | None = None) -> DataFrame:
+    """small(texts up to `large` bytes) and, if there are larger ones, big(those); large_from() gives the bound where none is given."""
+    large = large_from(corpus.sparkSession) if large is None else large
+    size = F.octet_length("bytes")
+    over = corpus.where(size > large)
+    done = small(corpus.where(size <= large))
+    return done if over.isEmpty() else done.unionByName(big(over))
+
+
+def suffix_array(corpus: DataFrame, strategy: str = "auto", large: int | None = None) -> DataFrame:
     """(doc_id, rank, pos) of every text that isn't empty.
 
     auto: texts up to `large` bytes inside tasks, without a shuffle; larger ones by the distributed loop, if there are any.
@@ -142,10 +173,7 @@ def suffix_array(corpus: DataFrame, strategy: str = "auto", large: int = LARGE)
         return forms[strategy](corpus)
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
-    size = F.octet_length("bytes")
-    small = local.sa_isa(corpus.where(size <= large))
-    big = corpus.where(size > large)
-    return small if big.isEmpty() else small.union(fast(big))
+    return by_size(corpus, local.sa_isa, fast, large)
 
 
 def head(sa: DataFrame, k: int = 5) -> DataFrame:

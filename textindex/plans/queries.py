@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import count_pattern, longest_repeat, match_length
-from ..operators import local, neighbours, suffix, transform
+from ..functions.text import count_pattern, longest_repeat, match_length, register_lz77
+from ..operators import large, local, neighbours, suffix, transform
+from ..sources import corpus
 from ..sources.corpus import from_strings, symbols
 from .store import spread
 
@@ -72,7 +73,7 @@ def scan_symbols(spark, sf_dir):
 
 def byte_counts(spark, sf_dir):
     """Bytes of all documents by value."""
-    return symbols(documents(spark, sf_dir)).groupBy("byte").agg(F.count("*").alias("n"))
+    return corpus.byte_counts(documents(spark, sf_dir))
 
 
 def prefix_key_rank(spark, sf_dir):
@@ -139,10 +140,11 @@ def inverse_suffix_array(spark, sf_dir):
 
 
 def sa_isa(spark, sf_dir):
-    sa = suffix.suffix_array(passages(spark, sf_dir))
-    isa = sa.select(F.col("doc_id").alias("d"), F.col("pos").alias("i"), F.col("rank").alias("isa"))
-    both = sa.withColumnRenamed("pos", "sa").join(isa, (F.col("doc_id") == F.col("d")) & (F.col("rank") == F.col("i")))
-    return both.select("doc_id", F.col("rank").alias("i"), "sa", "isa")
+    return local.sa_and_isa(passages(spark, sf_dir))
+
+
+def lcp_array(spark, sf_dir):
+    return local.lcp(names(spark, sf_dir))
 
 
 def sa_head(spark, sf_dir):
@@ -166,10 +168,12 @@ def bwt(spark, sf_dir):
 
 
 def bwt_isa(spark, sf_dir):
-    docs = passages(spark, sf_dir)
-    sa = suffix.suffix_array(docs)
-    l = local.bwt(docs).select(F.col("doc_id").alias("d"), F.hex("l").alias("l_hex"))
-    return sa.join(l, F.col("doc_id") == F.col("d")).select("doc_id", "pos", "rank", F.substring(F.col("l_hex"), 2 * F.col("rank").cast("int") + 1, F.lit(2)).alias("l_byte"))
+    return local.bwt_isa(passages(spark, sf_dir))
+
+
+def bwt_large(spark, sf_dir):
+    """The transform's bytes as rows, by the operators that spread one text over many tasks."""
+    return large.transform(passages(spark, sf_dir), large=0)
 
 
 def bwt_aux(spark, sf_dir):
@@ -217,10 +221,19 @@ def nsv_text(spark, sf_dir):
     return neighbours.text_order(_neighbours(spark, sf_dir), "nsv")
 
 
+def psv_large(spark, sf_dir):
+    """Both neighbours, by the operators that spread one text over many tasks, in blocks of 64 ranks."""
+    return large.neighbours(passages(spark, sf_dir), large=0, block=64).select("doc_id", "rank", "psv", "nsv", "psv_rank", "nsv_rank")
+
+
 def match_lengths(spark, sf_dir):
-    docs = names(spark, sf_dir)
-    near = neighbours.by_join(suffix.naive(docs)).join(docs, "doc_id")
-    return near.select("doc_id", "pos", F.coalesce(match_length("bytes", "pos", "psv"), F.lit(0)).alias("lp"), F.coalesce(match_length("bytes", "pos", "nsv"), F.lit(0)).alias("ln"))
+    return local.lz_candidates(names(spark, sf_dir)).select("doc_id", "pos", "lp", "ln")
+
+
+def match_length_pairs(spark, sf_dir):
+    """The column function on two given positions of each name: the first, and one in the middle."""
+    middle = F.floor(F.octet_length("bytes") / 2).cast("bigint")
+    return names(spark, sf_dir).where(F.octet_length("bytes") > 0).select("doc_id", match_length("bytes", F.lit(0).cast("bigint"), middle).alias("n"))
 
 
 def lz_candidates(spark, sf_dir):
@@ -231,6 +244,13 @@ def lz77_factors(spark, sf_dir):
     return local.lz_factors(names(spark, sf_dir))
 
 
+def lz77_udtf(spark, sf_dir):
+    """The same factors by a table function in SQL."""
+    register_lz77(spark)
+    names(spark, sf_dir).createOrReplaceTempView("textindex_names")
+    return spark.sql("SELECT doc_id, seq, start, src, len FROM lz77(TABLE(textindex_names) PARTITION BY doc_id)")
+
+
 def lz77_factors_passages(spark, sf_dir):
     return local.lz_factors(passages(spark, sf_dir))
 
@@ -249,11 +269,20 @@ def lz77_roundtrip(spark, sf_dir):
 
 
 def lz77_stats(spark, sf_dir):
-    """Documents, bytes and phrases by language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    coded = local.lz_encoded(from_strings(docs, "doc_id", "text")).select(F.col("doc_id").alias("d"), "phrases", "n_bytes")
-    rows = docs.select("doc_id", "lang").join(coded, F.col("doc_id") == F.col("d"))
-    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("n_bytes"), F.sum("phrases").alias("phrases"))
+    """Documents, bytes and phrases by language; every row counts once, whatever its id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode("text", "UTF-8").alias("bytes"), "lang")
+    return local.lz_encoded(docs, ("lang",)).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("n_bytes"), F.sum("phrases").alias("phrases"))
+
+
+def document_sizes(spark, sf_dir):
+    """Documents and bytes by language, as lz77_stats has them."""
+    return lz77_stats(spark, sf_dir).drop("phrases")
+
+
+def suffix_array_sizes(spark, sf_dir):
+    """Suffixes of each document, as suffix_array_documents has them."""
+    return suffix_array_documents(spark, sf_dir).drop("checksum")
 
 
 def pattern_count(spark, sf_dir):
@@ -268,9 +297,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_symbols, byte_counts, prefix_key_rank, rank_lead_k, group_ids_scan, doubling_round1, segmented_refine, unsorted_suffixes, tie_groups, rank_changes,
-        doubling_rounds, suffix_array_naive, suffix_array, suffix_array_fast, inverse_suffix_array, sa_isa, sa_head, sa_verify, suffix_array_documents,
-        bwt, bwt_isa, bwt_aux, bwt_roundtrip, psv, nsv, psv_nsv, psv_index, nsv_index, psv_text, nsv_text, match_lengths, lz_candidates,
-        lz77_factors, lz77_factors_passages, lz77_encoded_hex, lz77_documents, lz77_roundtrip, lz77_stats, pattern_count, longest_repeats,
+        doubling_rounds, suffix_array_naive, suffix_array, suffix_array_fast, inverse_suffix_array, sa_isa, lcp_array, sa_head, sa_verify, suffix_array_documents, suffix_array_sizes,
+        bwt, bwt_isa, bwt_aux, bwt_large, bwt_roundtrip, psv, nsv, psv_nsv, psv_index, nsv_index, psv_text, nsv_text, psv_large, match_lengths, match_length_pairs, lz_candidates,
+        lz77_factors, lz77_udtf, lz77_factors_passages, document_sizes, lz77_encoded_hex, lz77_documents, lz77_roundtrip, lz77_stats, pattern_count, longest_repeats,
     )
 }
 
@@ -302,6 +331,13 @@ ORACLES = {
     "sa_verify": "SELECT CAST(doc_id AS BIGINT) AS doc_id, true AS match FROM documents WHERE octet_length(encode(text)) > 0",
     "bwt": _sql("benchmark", "sa", "SELECT doc_id, right(any_value(h), 2) || coalesce(string_agg(substr(h, 2 * pos - 1, 2), '' ORDER BY rank) FILTER (WHERE pos > 0), '') AS l_hex, max(CASE WHEN pos = 0 THEN rank + 1 END) AS primary_index FROM sa GROUP BY doc_id"),
     "bwt_isa": _sql("benchmark", "sa", ", l AS (SELECT doc_id, right(any_value(h), 2) || coalesce(string_agg(substr(h, 2 * pos - 1, 2), '' ORDER BY rank) FILTER (WHERE pos > 0), '') AS l_hex FROM sa GROUP BY doc_id) SELECT sa.doc_id, pos, rank, substr(l_hex, 2 * rank + 1, 2) AS l_byte FROM sa JOIN l ON sa.doc_id = l.doc_id"),
+    "lcp_array": _sql("part", "sa", ", l AS (SELECT doc_id, rank, suf, lag(suf) OVER (PARTITION BY doc_id ORDER BY rank) AS pre FROM sa) SELECT doc_id, rank, coalesce((SELECT max(k) FROM range(1, CAST(length(suf) // 2 AS BIGINT) + 1) z(k) WHERE length(pre) >= 2 * k AND substr(suf, 1, 2 * k) = substr(pre, 1, 2 * k)), 0) AS lcp FROM l"),
+    "suffix_array_sizes": "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE octet_length(encode(text)) > 0",
+    "document_sizes": "SELECT lang, count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY lang",
+    "bwt_large": _sql("benchmark", "sa", ", f AS (SELECT doc_id, rank AS p FROM sa WHERE pos = 0) SELECT sa.doc_id, CASE WHEN pos = 0 THEN 0 WHEN rank < p THEN rank + 1 ELSE rank END AS place, CASE WHEN pos = 0 THEN CAST('0x' || right(h, 2) AS BIGINT) ELSE CAST('0x' || substr(h, 2 * pos - 1, 2) AS BIGINT) END AS byte FROM sa JOIN f ON sa.doc_id = f.doc_id"),
+    "psv_large": _sql("benchmark", "nb", "SELECT doc_id, rank, psv, nsv, psv_rank, nsv_rank FROM nb"),
+    "lz77_udtf": _sql("part", "z", "SELECT doc_id, seq, pos AS start, src, len FROM z"),
+    "match_length_pairs": _sql("part", "b", ", m AS (SELECT doc_id, h, substr(h, 2 * (length(h) // 4) + 1) AS suf FROM t WHERE length(h) > 0) SELECT doc_id, coalesce((SELECT max(k) FROM range(1, CAST(length(suf) // 2 AS BIGINT) + 1) z(k) WHERE substr(suf, 1, 2 * k) = substr(h, 1, 2 * k)), 0) AS n FROM m"),
     "bwt_aux": _sql("benchmark", "sa", "SELECT doc_id, pos // 16 AS k, rank + 1 AS i FROM sa WHERE pos % 16 = 0"),
     "bwt_roundtrip": _BYTES_BACK,
     "psv": _sql("benchmark", "nb", "SELECT doc_id, rank, psv FROM nb"),

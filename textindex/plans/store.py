@@ -14,28 +14,35 @@ _made: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset (tests, one machine) a temporary folder serves for it.
-    The folder goes when this Python process ends.
+    Where the setting is unset, a local master (tests, one machine) gets a temporary folder; on a cluster that is an error, as
+    executors can't see it. The folder goes with drop_shared(), or when this Python process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textindex-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/textindex/{name}-{uuid.uuid4().hex}"
     if not _made:
-        atexit.register(_drop_all)
+        atexit.register(drop_shared)
     _made[path] = spark
     return path
 
 
-def _drop_all() -> None:
-    for path, spark in _made.items():
+def drop_shared() -> None:
+    """Delete all shared folders made so far in this process; frames that read them can't be used afterwards.
+
+    A driver that runs many queries calls it when it has taken their results.
+    """
+    while _made:
+        path, spark = _made.popitem()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may have ended before  # noqa: BLE001
-            return
+            continue
 
 
 def shared_table(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
