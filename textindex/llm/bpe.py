@@ -57,7 +57,8 @@ def _byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of a byte-level vocabulary in the tokenizers library's JSON format."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.keep = KEEP if keep is None else keep
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
@@ -130,7 +131,7 @@ class Codec:
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of distinct pieces, whose ids stand at starts[number] in flat."""
         lack = [p for p in pieces if p not in self.known]
-        if self.held + sum(map(len, lack)) + ENTRY * len(lack) > KEEP and self.held:
+        if self.held + sum(map(len, lack)) + ENTRY * len(lack) > self.keep and self.held:
             self.forget()
             lack = [p for p in pieces if p]
         if lack:
@@ -181,8 +182,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, keep: int | None = None) -> Codec:
+    return Codec(path, keep)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,12 +206,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     return map_batches(docs.select(doc_id, text), each, f"doc_id {kind}, ids binary, decoded string", BATCH_BYTES)
 
 
-def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """encode_decode() reduced where it is made: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids themselves."""
+def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False, keep: int = KEEP, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """encode_decode() reduced where it is made: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids themselves.
+
+    keep and batch_bytes bound what a worker keeps and works on at once; less of them costs time, the result is the same.
+    """
     path = path or default_path()
 
     def each(batch: pa.RecordBatch) -> dict:
-        c = codec(path)
+        c = codec(path, keep)
         ids, n = c.encode(batch.column(1))
         ends = np.cumsum([0, *4 * n]).tolist()
         raw = memoryview(ids.tobytes())
@@ -219,7 +223,7 @@ def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
         return out | ({"ids": [bytes(x) for x in own]} if keep_ids else {})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, BATCH_BYTES)
+    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, batch_bytes)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

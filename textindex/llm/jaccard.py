@@ -35,9 +35,9 @@ FILTER_BITS = 1 << 25
 #: Words whose hash a worker keeps.
 KEEP = 100_000
 #: n-grams and documents in a block of candidates, rows and columns of the product's blocks.
-BLOCK_GRAMS, BLOCK_DOCS, ROWS, COLUMNS = 1_000_000, 8_000, 512, 2048
-#: Columns with so many pairs of documents at most are multiplied pair by pair.
-FEW = 16
+BLOCK_GRAMS, BLOCK_DOCS, ROWS, COLUMNS = 500_000, 8_000, 512, 2048
+#: Columns with so many pairs of documents at most are multiplied pair by pair, so many pairs at once.
+FEW, PAIRS = 16, 1 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _SHIFT = [np.uint64(x) for x in (29, 31, 30, 32)]
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, n: int = N) -> np.ndarray:
         some, held = [], 0
 
         def put() -> None:
-            counters[:] += np.bincount(np.concatenate(some).astype(np.int64), minlength=2 * COUNTERS).astype(np.uint32)
+            np.add(counters, np.bincount(np.concatenate(some).view(np.int64), minlength=2 * COUNTERS), out=counters, casting="unsafe")
             some.clear()
 
         for batch in batches:
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, n: int = N) -> np.ndarray:
                 h, s = gram_hashes(text.as_py(), n)
                 some += [np.unique(s) & np.uint64(COUNTERS - 1), (h & np.uint64(COUNTERS - 1)) + np.uint64(COUNTERS)]
                 held += len(s)
-                if held >= 1 << 20:
+                if held >= 1 << 18:
                     put()
                     held = 0
         if some:
@@ -253,36 +253,38 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
 
 
 def overlaps(row: np.ndarray, column: np.ndarray, ends: np.ndarray, p: tuple[int, int], q: tuple[int, int]) -> np.ndarray:
-    """The product of rows p by rows q of a sparse 0/1 matrix: ends has where each row's entries end, columns ascend in a row."""
+    """The product of rows p by rows q of a sparse 0/1 matrix: ends has where each row's entries end."""
     spans = [slice(ends[x[0] - 1] if x[0] else 0, ends[x[1] - 1]) for x in (p, q)]
     (rows_a, a), (rows_b, b) = ((row[x] - y[0], column[x]) for x, y in zip(spans, (p, q), strict=True))
     shape = (p[1] - p[0], q[1] - q[0])
-    numbers, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    in_a, in_b = np.bincount(a, minlength=len(numbers)), np.bincount(b, minlength=len(numbers))
+    width = 1 + max(a.max(initial=-1), b.max(initial=-1))
+    in_a, in_b = np.bincount(a, minlength=width), np.bincount(b, minlength=width)
     pairs = in_a * in_b
-    out = np.zeros(shape[0] * shape[1], np.int64)
+    out = np.zeros(shape, np.float32)  # whole numbers below 2**24
     light = (pairs > 0) & (pairs <= FEW)
-    by_a, by_b = (np.argsort(x[light[x]], kind="stable") for x in (a, b))
     if light.any():
-        left, right = rows_a[light[a]][by_a], rows_b[light[b]][by_b]
+        by_a, by_b = (np.flatnonzero(light[x]) for x in (a, b))
+        by_a, by_b = by_a[np.argsort(a[by_a], kind="stable")], by_b[np.argsort(b[by_b], kind="stable")]
         n_a, n_b = in_a[light], in_b[light]
-        i = np.repeat(left, np.repeat(n_b, n_a))
-        first = np.repeat(np.cumsum(n_b) - n_b, n_a)  # where the column's rows of q begin, for each entry of p
-        j = gather(right, first, np.repeat(n_b, n_a))
-        out += np.bincount(i * shape[1] + j, minlength=len(out))
-    out = out.reshape(shape)
-    heavy = np.cumsum(pairs > FEW) - 1
-    width = int(heavy[-1]) + 1 if len(heavy) else 0
-    keep_a, keep_b = pairs[a] > FEW, pairs[b] > FEW
-    rows_a, a, rows_b, b = rows_a[keep_a], heavy[a[keep_a]], rows_b[keep_b], heavy[b[keep_b]]
+        times = np.repeat(n_b, n_a)  # how many entries of q each entry of p meets
+        begin = np.repeat(np.cumsum(n_b) - n_b, n_a)  # where they begin
+        step = max(1, PAIRS // FEW)
+        for k in range(0, len(by_a), step):
+            i = np.repeat(rows_a[by_a[k : k + step]], times[k : k + step])
+            j = rows_b[gather(by_b, begin[k : k + step], times[k : k + step])]
+            out += np.bincount(i * shape[1] + j, minlength=out.size).reshape(shape)
+    heavy = pairs > FEW
+    number = np.cumsum(heavy) - 1
+    keep_a, keep_b = heavy[a], heavy[b]
+    rows_a, a, rows_b, b = rows_a[keep_a], number[a[keep_a]], rows_b[keep_b], number[b[keep_b]]
+    width = int(heavy.sum())
     for first in range(0, width, COLUMNS):
         x, y = (np.zeros((n, min(COLUMNS, width - first)), np.float32) for n in shape)
         for z, r, c in ((x, rows_a, a), (y, rows_b, b)):
             inside = (c >= first) & (c < first + COLUMNS)
             z[r[inside], c[inside] - first] = 1
-        out += (x @ y.T).astype(np.int64)
-    return out
+        out += x @ y.T
+    return out.astype(np.int64)
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,9 +308,13 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     nodes, size, sides = nodes[order], size[order], sides[order]
-    column = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)[1]
+    flat = np.concatenate([sets[i] for i in order.tolist()])
+    by = np.argsort(flat, kind="stable")
+    column = np.empty(len(flat), np.int32)
+    column[by] = np.cumsum(np.diff(flat[by], prepend=flat[by[0]]) != 0)
+    del flat, by
     keep = np.bincount(column)[column] > 1  # columns that two documents have
-    row = np.repeat(np.arange(m), size)[keep]
+    row = np.repeat(np.arange(m, dtype=np.int32), size)[keep]
     column = column[keep]
     ends = np.searchsorted(row, np.arange(m), side="right")
     by_node = np.argsort(nodes)
