@@ -68,7 +68,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers) of each document of the mixture,
     repeats included. A null text has no ids."""
-    return digests(docs, keep_ids=True)
+    # the workers hold what earlier stages left as well, so they keep and work on less at once than for the operator alone
+    return digests(docs, keep_ids=True, keep=12 << 20, batch_bytes=1_000_000)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoded", encoded)]
