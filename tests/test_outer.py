@@ -93,6 +93,11 @@ def test_queries_equal_sql(spark, small, name):
     assert a == b
 
 
+def test_rank_changes_needs_no_join(spark, small):
+    plan = Q.rank_changes(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.store import shared_table
@@ -75,10 +75,15 @@ def doubled(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "pos", F.dense_rank().over(_by_doc("r", "r2")).cast("bigint").alias("r"))
 
 
-def refined(pairs: DataFrame) -> DataFrame:
-    """(doc_id, pos, r): the rank of the group's least member, groups sorted inside by r2 only."""
+def refined_rank() -> Column:
+    """Of (doc_id, r, r2): the rank of the group's least member, groups sorted inside by r2 only."""
     inside = Window.partitionBy("doc_id", "r").orderBy("r2")
-    return pairs.select("doc_id", "pos", (F.col("r") + F.rank().over(inside) - 1).cast("bigint").alias("r"))
+    return (F.col("r") + F.rank().over(inside) - 1).cast("bigint")
+
+
+def refined(pairs: DataFrame) -> DataFrame:
+    """(doc_id, pos, r) with refined_rank()."""
+    return pairs.select("doc_id", "pos", refined_rank().alias("r"))
 
 
 def prefix_ranks(corpus: DataFrame, width: int = 8) -> DataFrame:

@@ -114,8 +114,7 @@ def tie_groups(spark, sf_dir):
 def rank_changes(spark, sf_dir):
     """Per text the suffixes whose rank (of the group's least member) a round changes."""
     first = suffix.prefix_ranks(names(spark, sf_dir), 1).select("doc_id", "pos", (F.col("rank0") + 1).alias("r"))
-    new = suffix.refined(suffix.ahead(first, 1)).select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("r").alias("new"))
-    both = first.join(new, (F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p")))
+    both = suffix.ahead(first, 1).withColumn("new", suffix.refined_rank())  # old and new side by side: a join by position could broadcast all positions
     return both.where("r <> new").groupBy("doc_id").agg(F.count("*").alias("n_changed"))
 
 
