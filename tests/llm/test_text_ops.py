@@ -8,6 +8,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textindex.llm import bpe, fingerprints, language, quality, scoring, token_files
-from textindex.llm.common import shared_dir, table
+from textindex.llm import bpe, fingerprints, jaccard, language, quality, scoring, token_files
+from textindex.llm.common import map_batches, shared_dir, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, "a b c"), (1, "a b c"), (2, None), (None, "x y"), (3, ""), (4, " \n\t "), (5, "word " * 3000), (6, "é" * 50_000), (7, "<|endoftext|> a<|startoftext|>b"), (8, "12 34\x1c\x85\xa0　5"), (9, "it's don't\n\n  x́ ΑΣ İ ß")]
@@ -450,3 +452,23 @@ def test_byte_pairs(spark, small, docs, tokenizers_, odd, empty):
         assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in rows) == sorted(want)
     assert bpe.digests(empty).count() == 0
     assert {r["decoded"] for r in bpe.encode_decode(odd).collect()} == {t or "" for _, t in ODD}
+
+
+# -- memory of the workers ---------------------------------------------------------------------
+
+
+def test_a_worker_gives_back_what_it_freed(spark):
+    """An idle worker counts to its executor, so a task's end must not leave freed memory with the C library."""
+    own = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+    pins = []
+
+    def each(batch):
+        some = [bytes(1000) for _ in range(150_000)]
+        pins.append(some[-1])  # what stays in use behind the rest
+        return {"doc_id": batch.column(0)}
+
+    run = map_batches(SimpleNamespace(mapInArrow=lambda run, schema: run), each, "doc_id bigint")
+    jaccard._hashes[b"word"]  # noqa: B018
+    before = own()
+    assert sum(x.num_rows for x in run(iter([pa.record_batch({"doc_id": pa.array([1, 2], pa.int64())})]))) == 2
+    assert own() - before < 50 and not jaccard._hashes

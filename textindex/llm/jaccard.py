@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gather, lower_words, row_hash, shared_table, table
+from .common import CACHES, gather, lower_words, releasing, row_hash, shared_table, table
 from .components import components
 
 N, PERCENT = 4, 85
@@ -52,6 +52,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes.clear)
 
 
 def gram_hashes(text: str | None, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,7 @@ def sketch(docs: DataFrame, n: int = N) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(total, pa.int32()), "counters": pa.array([np.minimum(c, 2**32 - 1).astype("<u4").tobytes() for c in total.values()], pa.binary())})
 
     schema = "chunk int, counters binary"
-    sums = docs.select("text").mapInArrow(run, schema).repartition(2 * COUNTERS // CHUNK, "chunk").mapInArrow(add, schema)
+    sums = docs.select("text").mapInArrow(releasing(run), schema).repartition(2 * COUNTERS // CHUNK, "chunk").mapInArrow(releasing(add), schema)
     out = np.zeros((2 * COUNTERS // CHUNK, CHUNK), np.uint32)
     for r in sums.collect():  # 2 * COUNTERS numbers
         out[r["chunk"]] = np.frombuffer(bytes(r["counters"]), "<u4")
@@ -172,7 +173,7 @@ def signatures(docs: DataFrame, counters: np.ndarray, n: int = N, percent: int =
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["key", "doc_id", "n", "node", "prefix"])
 
-    return shared_table(docs.select("key", "doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, n bigint, node bigint, prefix array<bigint>"), "signatures")
+    return shared_table(docs.select("key", "doc_id", "text").mapInArrow(releasing(run), "key bigint, doc_id bigint, n bigint, node bigint, prefix array<bigint>"), "signatures")
 
 
 def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -193,7 +194,7 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
             owner = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))[hit]
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit], pa.int64()), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["gram", "node", "n"])
 
-    rows = known.select("node", "n", "prefix").mapInArrow(run, "gram bigint, node bigint, n bigint")
+    rows = known.select("node", "n", "prefix").mapInArrow(releasing(run), "gram bigint, node bigint, n bigint")
     hits = shared_table(rows.join(several, F.col("gram") == F.col("g")).select("gram", "node", "n").distinct(), "hits")
     smallest = F.ceil(F.col("n") * percent / 100)  # of a set that is alike
     enough = hits.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= 1 + F.floor(smallest / 20)).select(F.col("node").alias("k"))
@@ -249,7 +250,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = N) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, grams binary")
+    return docs.select("text").mapInArrow(releasing(run), "node bigint, grams binary")
 
 
 def overlaps(row: np.ndarray, column: np.ndarray, ends: np.ndarray, p: tuple[int, int], q: tuple[int, int]) -> np.ndarray:
@@ -381,7 +382,7 @@ def links(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         close()
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(releasing(run), "u bigint, v bigint")
 
 
 def rooted(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_table, table
+from .common import releasing, shared_table, table
 from .jaccard import FILTER_BITS, _filter_of
 
 #: Leading words that the tree looks at, below the number of words.
@@ -80,7 +80,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         rows.append((key, doc_id, p[0], p[1], len(p[2])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc", "doc_id", "line", "leaf", "words"])
 
-    return shared_table(docs.select("doc_id", "text").mapInArrow(run, "doc bigint, doc_id bigint, line bigint, leaf bigint, words bigint").distinct(), "lines")
+    return shared_table(docs.select("doc_id", "text").mapInArrow(releasing(run), "doc bigint, doc_id bigint, line bigint, leaf bigint, words bigint").distinct(), "lines")
 
 
 def _fields(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _fields(docs: DataFrame, leaves: DataFrame) -> DataFrame:
             fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(leaf, pa.int64()), pa.array(fixed, pa.int32()), fields], names=["line", "leaf", "fixed", "fields"])
 
-    return docs.select("text").mapInArrow(run, "line bigint, leaf bigint, fixed int, fields array<bigint>")
+    return docs.select("text").mapInArrow(releasing(run), "line bigint, leaf bigint, fixed int, fields array<bigint>")
 
 
 def templates(docs: DataFrame, seen: DataFrame) -> DataFrame:
