@@ -6,6 +6,7 @@ import random
 import struct
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +114,33 @@ def test_golden():
         assert list(zip(source.tolist(), length.tolist(), strict=True)) == factors
 
 
+def test_skew_and_doubling_are_the_same():
+    texts = [*some_texts(), b"a" * 3000, b"ab" * 2000 + b"c" + b"ab" * 2000, b"abracadabra" * 500]
+    b = K.Batch(texts)
+    sa = K.skew(b)
+    for k, t in enumerate(texts):
+        assert (sa[b.starts[k] : b.ends[k]] - b.starts[k]).tolist() == by_definition(t)
+    assert K.same(b, sa, K.suffix_array(b)[0]).all()
+    other = sa.copy()
+    last = next(k for k in range(len(texts) - 1, -1, -1) if b.sizes[k] > 1)
+    for k in (0, last):
+        other[[b.starts[k], b.starts[k] + 1]] = other[[b.starts[k] + 1, b.starts[k]]]
+    assert np.flatnonzero(~K.same(b, sa, other)).tolist() == [0, last]
+    wide = np.random.default_rng(3).integers(1, 1 << 21, 30_000)
+    wide[15_000:] = wide[:15_000]  # values too large for a triple in one number; of two equal ones the shorter suffix comes first
+    v = wide.tolist()
+    assert K._by_thirds(wide).tolist() == sorted(range(len(v)), key=lambda i: (v[i : i + 4], i < 15_000))
+
+
+def test_verification_makes_no_row_for_a_position(spark, corpus):
+    twice = corpus.union(corpus.where("doc_id = 3"))  # a repeated id is a row of its own
+    got = suffix.verify(twice)
+    assert "Aggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan and "Window" not in plan
+    want = sorted([*(i for i, t in enumerate(some_texts()) if t), 3])
+    assert sorted(r["doc_id"] for r in got.where("match").collect()) == want
+    assert sorted(r["doc_id"] for r in suffix.verify(corpus, large=20).where("match").collect()) == sorted(set(want))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab\0c", max_size=40), max_size=5))
 def test_kernels_on_any_texts(texts):

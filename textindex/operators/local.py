@@ -14,9 +14,11 @@ from . import kernels as K
 
 #: Bytes of texts that are indexed at once.
 BATCH_BYTES = 1 << 20
+#: The same where two suffix arrays are made and compared: the recursion's arrays stay in the processor's cache.
+COMPARE_BYTES = 1 << 18
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, K.Batch, list[list]]]:
+def _batches(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, K.Batch, list[list]]]:
     ids, texts, carried, size = [], [], [], 0
     for batch in rows:
         for doc_id, raw, *more in zip(batch.column(0).to_pylist(), batch.column(1), *(x.to_pylist() for x in batch.columns[2:]), strict=True):
@@ -25,14 +27,14 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, K.Batch, li
             texts.append(text or b"")
             carried.append(more)
             size += len(texts[-1])
-            if size >= BATCH_BYTES:
+            if size >= most:
                 yield ids, K.Batch(texts), carried
                 ids, texts, carried, size = [], [], [], 0
     if ids:
         yield ids, K.Batch(texts), carried
 
 
-def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, object]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, object]], schema: str, carry: tuple[str, ...] = (), most: int = BATCH_BYTES) -> DataFrame:
     """Apply make(ids, batch) to batches of whole texts (doc_id, bytes); it returns bigint, binary or string columns.
 
     With a row for each text, further columns of the corpus can be carried along.
@@ -43,7 +45,7 @@ def over_texts(corpus: DataFrame, make: Callable[[list, K.Batch], dict[str, obje
     arrow = [to_arrow_type(t) for _, t in more]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, b, carried in _batches(rows):
+        for ids, b, carried in _batches(rows, most):
             made = make(ids, b)
             columns = []
             for name, kind in fields:
@@ -79,6 +81,17 @@ def sa_and_isa(corpus: DataFrame) -> DataFrame:
     return over_texts(corpus, make, "doc_id bigint, i bigint, sa bigint, isa bigint")
 
 
+def sa_match(corpus: DataFrame) -> DataFrame:
+    """(doc_id, match) for each text that isn't empty: whether its suffix arrays by prefix doubling and by the skew algorithm are equal."""
+
+    def make(ids, b):
+        ok = K.same(b, K.suffix_array(b)[0], K.skew(b))
+        keep = np.flatnonzero(b.sizes)
+        return {"doc_id": np.array(ids, object)[keep], "match": ok[keep]}
+
+    return over_texts(corpus, make, "doc_id bigint, match boolean", most=COMPARE_BYTES)
+
+
 def lcp(corpus: DataFrame) -> DataFrame:
     """(doc_id, rank, lcp): the bytes that the suffix of a rank has in common with the one before; 0 for the first."""
 

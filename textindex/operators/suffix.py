@@ -192,3 +192,11 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     both = left.union(b.select("doc_id", "rank", "pos", F.lit(2).alias("side")))
     rows = both.groupBy("doc_id", "rank", "pos").agg((F.sum("side") == 3).alias("ok"))
     return rows.groupBy("doc_id").agg(F.min("ok").alias("match"))
+
+
+def verify(corpus: DataFrame, large: int | None = None) -> DataFrame:
+    """(doc_id, match) for every text that isn't empty: whether two suffix arrays of it, made by two methods, are equal.
+
+    Texts up to `large` bytes are indexed and compared inside tasks, without a row for each position; larger ones by fast(), compared with local.
+    """
+    return by_size(corpus, local.sa_match, lambda x: compare(fast(x), local.sa_isa(x)), large)
