@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -132,6 +133,80 @@ def test_every_text_teaches(spark):
     assert p[0] > 0.8  # half or so by the counts alone
 
 
+def sums_of_rows(ids, rows):
+    by = np.argsort(ids, kind="stable")
+    at = np.flatnonzero(np.diff(ids[by], prepend=-1))
+    return ids[by[at]], np.add.reduceat(rows[by], at, axis=0)
+
+
+def plain_training(m, context, target, rng, rate):
+    """Each step as a formula of whole arrays."""
+    upto, log_noise = np.cumsum(m.prior), np.log(scoring.NOISE * m.prior).astype(np.float32)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    order = rng.permutation(len(target))
+    for pick in (order[i : i + scoring.BATCH] for i in range(0, len(order), scoring.BATCH)):
+        a, b, t = context[pick, 0], context[pick, 1], target[pick]
+        noise = np.minimum(np.searchsorted(upto, rng.random(scoring.NOISE)), scoring.CLASSES - 1)
+        ra, rb, qt, qn = m.r[a], m.r[b], m.q[t], m.q[noise]
+        hat = ra * m.p[0] + rb * m.p[1]
+        dg = (sigmoid((hat * qt).sum(axis=1) + m.b[t] - log_noise[t]) - 1) / len(pick)
+        db = sigmoid(hat @ qn.T + (m.b[noise] - log_noise[noise])) / len(pick)
+        d_hat = dg[:, None] * qt + db @ qn
+        g = {k: np.zeros_like(getattr(m, k)) for k in "rqb"}
+        for name, ids, rows in (("q", t, dg[:, None] * hat), ("b", t, dg), ("r", a, d_hat * m.p[0]), ("r", b, d_hat * m.p[1])):
+            at, sums = sums_of_rows(ids.astype(np.int16), rows)
+            g[name][at] += sums
+        np.add.at(g["q"], noise, db.T @ hat)
+        np.add.at(g["b"], noise, db.sum(axis=0))
+        g["p"] = np.stack([(d_hat * ra).sum(axis=0), (d_hat * rb).sum(axis=0)])
+        for k, x in g.items():
+            m.store[k] += x * x
+            setattr(m, k, (getattr(m, k) - rate * x / np.sqrt(m.store[k])).astype(np.float32))
+
+
+def plain_words(m, last, member, v, rng, rate):
+    log_noise = np.log(scoring.WORD_NOISE * m.member_prior).astype(np.float32)
+    order = rng.permutation(len(member))
+    for pick in (order[i : i + scoring.WORD_BATCH] for i in range(0, len(order), scoring.WORD_BATCH)):
+        a, t = last[pick], member[pick]
+        of = np.repeat(v.member_class[t][:, None], scoring.WORD_NOISE, axis=1)
+        drawn = np.searchsorted(v.upto, of + rng.random(of.shape), side="left")
+        ids = np.c_[t, np.clip(drawn, v.starts[of - scoring.FIRST], v.starts[of - scoring.FIRST + 1] - 1)]
+        x, y = m.s[a], m.v[ids]
+        g = (1 / (1 + np.exp(-np.clip(np.einsum("bw,bkw->bk", x, y) + m.d[ids] - log_noise[ids], -30, 30)))).astype(np.float32)
+        g[:, 0] -= 1
+        back = np.einsum("bk,bkw->bw", g, y)
+        rows = np.concatenate([(g[:, :, None] * x[:, None, :]).reshape(-1, scoring.WORD_WIDTH), g.reshape(-1, 1)], axis=1)
+        m.met += np.bincount(ids.ravel(), minlength=len(m.met))
+        at, sums = sums_of_rows(ids.ravel().astype(np.int32), rows)
+        for k, where, z in (("v", at, sums[:, :-1]), ("d", at, sums[:, -1]), ("s", *sums_of_rows(a.astype(np.int16), back))):
+            m.store[k][where] += z * z
+            getattr(m, k)[where] -= rate * z / np.sqrt(m.store[k][where])
+
+
+def test_training_costs_less_than_its_plain_steps(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(40_000)]
+    texts = [" ".join(words[int(40_000 ** rng.random()) - 1] for _ in range(400)) for _ in range(250)]
+    v = scoring.Vocabulary(scoring.counts(spark.createDataFrame([(x,) for x in texts], "text string")))
+    pos = scoring.Positions(texts, v, v.lookup(), v.classes())
+    context, several = np.stack([pos.before, pos.last], axis=1), pos.member >= 0
+    last, member = pos.last[several], pos.member[several]
+    assert len(member) > 2 * scoring.WORD_BATCH  # whole batches
+    took, models = {}, {}
+    for _ in range(3):
+        for name, train, train_words in (("plain", plain_training, plain_words), ("own", scoring.LogBilinear.train, scoring.LogBilinear.train_words)):
+            m, r = scoring.LogBilinear(v.prior, v.member_prior), np.random.default_rng(4)
+            began = time.thread_time()
+            train(m, context, pos.seq, r, 0.08)
+            train_words(m, last, member, v, r, 0.2)
+            took.setdefault(name, []).append(time.thread_time() - began)
+            models[name] = m
+    for k in ("r", "q", "p", "b", "s", "v", "d", "met"):  # the same model, whatever it costs
+        assert np.allclose(getattr(models["own"], k), getattr(models["plain"], k), rtol=0, atol=1e-4), k
+    assert min(took["own"]) < 0.85 * min(took["plain"]), took
+
+
 # -- 3 ----------------------------------------------------------------------------------------
 
 
